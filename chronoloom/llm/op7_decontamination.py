@@ -51,9 +51,11 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, *, width: int = WIDTH, text
     sizes = {r["len"]: r["n"] for r in grams.groupBy("len").agg(F.count("*").alias("n")).collect()}  # at most `width` rows
     hashes = grams.select("len", "h").distinct()
     small = sum(sizes.values()) <= broadcast_rows
-    d = docs.select(F.col(key).alias("doc_id"), F.xxhash64(text).alias("text_hash"), words_of(F.col(text)).alias("w"))
-    d = d.withColumn("win", F.concat(*[windows_of(F.col("w"), n) for n in sorted(sizes) or [width]]))
-    d = d.select("doc_id", "text_hash", "w", F.explode("win").alias("x")).select("doc_id", "text_hash", "w", "x.pos", "x.len", "x.h")
+    # explode(array(..)) keeps the optimizer from copying the word split into the lambda, where it would run for every window;
+    # an outer explode infers no filter that would compute the windows once more
+    d = docs.select(F.col(key).alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.explode(F.array(words_of(F.col(text)))).alias("w"))
+    windows = F.concat(*[windows_of(F.col("w"), n) for n in sorted(sizes) or [width]])
+    d = d.select("doc_id", "text_hash", "w", F.explode_outer(windows).alias("x")).select("doc_id", "text_hash", "w", "x.pos", "x.len", "x.h")
     d = d.join(F.broadcast(hashes) if small else hashes, ["len", "h"], "left_semi")
     d = d.select("doc_id", "text_hash", "pos", "len", "h", F.array_join(F.slice("w", F.col("pos"), F.col("len")), " ").alias("gram"))
     found = d.join(grams, ["len", "h", "gram"])
@@ -92,7 +94,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, remove: str = "docum
         return docs.join(hits, same, "left_anti")
     # words and the rest of the text alternate, so that a piece's place gives its word's number
     parts = F.regexp_extract_all(F.col(text), F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+|[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"), F.lit(0))
-    first = F.when(F.col(text).rlike(r"\A[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"), 0).otherwise(1)  # 1: the text begins with a word
+    first = F.when(F.substring(F.col(text), 1, 1).rlike(r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"), 0).otherwise(1)  # 1: the text begins with a word
     number = lambda i: F.floor((i + 1 + F.col("_f")) / 2)
     kept = F.filter("_p", lambda p, i: ~F.exists("_s", lambda s: (number(i) >= s["pos"]) & (number(i) < s["pos"] + s["len"])))
     out = docs.join(hits, same, "left").withColumns({"_p": parts, "_f": first})

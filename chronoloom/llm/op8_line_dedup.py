@@ -46,11 +46,10 @@ def boilerplate(docs: DataFrame, *, host: str = "source", text: str = "text", ra
 def drop_lines(docs: DataFrame, *, host: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """docs with boilerplate lines dropped from `text`, and the columns lines_before and lines_after."""
     found = boilerplate(docs, host=host, text=text, ratio=ratio, min_pages=min_pages)
-    each = found.groupBy("host").agg(F.collect_list("h").alias("_bad")).select(F.col("host").alias("_host"), "_bad")
+    each = found.groupBy("host").agg(F.collect_list("h").alias("_bad"), F.collect_list("h.a").alias("_first")).select(F.col("host").alias("_host"), "_bad", "_first")
     small = (each.agg(F.sum(F.size("_bad")).alias("n")).first()["n"] or 0) <= broadcast_rows
     out = docs.join(F.broadcast(each) if small else each, F.col(host).eqNullSafe(F.col("_host")), "left")
-    firsts = F.transform("_bad", lambda x: x["a"])
-    out = out.withColumns({"_lines": lines_of(F.col(text).cast("string")), "_first": firsts})
+    out = out.withColumn("_lines", lines_of(F.col(text).cast("string")))
     bad = lambda x: F.array_contains("_first", F.xxhash64(x)) & F.array_contains("_bad", line_hash(x))
     out = out.withColumn("_kept", F.when(F.col("_bad").isNull(), F.col("_lines")).otherwise(F.filter("_lines", lambda x: (F.trim(x) == "") | ~bad(x))))
     size = lambda c: F.when(F.col(c).isNull(), 0).otherwise(F.size(c)).cast("long")
