@@ -9,7 +9,7 @@ the words they come from.
 The fit uses a bounded sample, the `MOST` labelled rows of the least hash. Scoring reads whole texts: as average and
 softmax are linear, a word's share of a passage's score is computed once per distinct word.
 
-Defined cases: null or empty text is scored as a passage without words; labels that are null, or of ids in the held-out fold,
+Defined cases: null or empty text, or text of white space, has the share of toxic labels as its score; labels that are null, or of ids in the held-out fold,
 are not used; a doc_id with several labels is toxic if one is; without labels of both kinds the score is the share of toxic labels (0 without any);
 rows with the same doc_id are scored by their own texts; further columns are ignored.
 """
@@ -64,7 +64,7 @@ class Model:
         """Logits of all passages of a text; they overlap by half."""
         n, step = len(scores), PASSAGE // 2
         if not n:
-            return np.array([float(self.b[1] - self.b[0])])
+            return np.array([float(np.log(max(self.prior, 1e-9) / max(1 - self.prior, 1e-9)))])
         cut = np.arange(0, max(1, n - step), step)
         end = np.minimum(cut + PASSAGE, n)
         a, c = np.concatenate([[0], np.cumsum(scores, dtype=np.float64)]), np.concatenate([[0], np.cumsum(sizes)])
