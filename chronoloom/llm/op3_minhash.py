@@ -6,7 +6,7 @@
    bucket set that it shares most often; verified links join components, which empties the large groups of copies.
 3. Buckets that still hold more than one component are compared within, between components only, in blocks of
    bounded size: a pair is looked at in the first band that it shares, its minima must agree often enough (five
-   standard errors below the threshold), and it is confirmed on the full sets. So no link that a band shows is lost, and no
+   standard errors below the threshold), and it is confirmed on the full sets, which each member brings to its block. So no link that a band shows is lost, and no
    group is expanded into all its pairs.
 
 With 32 bands of 5 rows a pair of similarity 0.85 shares no band with probability 7e-9 (0.8: 3e-6).
@@ -145,9 +145,11 @@ def _confirm(pairs: DataFrame, docs: DataFrame, k: int, above, text: str, key: s
 
 
 def _cross(members: DataFrame, bands: int, low: float) -> DataFrame:
-    """Pairs of different components within each bucket whose minima agree often enough, each once.
+    """The pairs of different components within each bucket whose minima agree often enough, each pair once.
 
     members: band_key, band, rep, label, sig, size (of the bucket). Large buckets are dealt out in pairs of blocks.
+    A row is a member (of a bucket and pair of blocks) that is in such a pair, with its partners of higher place, so
+    that there are never more rows than members.
     """
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     m = members.withColumn("n", blocks).withColumn("blk", F.pmod(F.xxhash64("rep"), F.col("n")).cast("int"))
@@ -157,11 +159,11 @@ def _cross(members: DataFrame, bands: int, low: float) -> DataFrame:
     def run(batches):
         for t, cuts in whole_groups(batches, ["band_key", "i", "j"]):
             rep, label, band, blk = (t.column(c).to_numpy() for c in ("rep", "label", "band", "blk"))
-            i_, j_ = t.column("i").to_numpy(), t.column("j").to_numpy()
+            i_, j_, keys = (t.column(c).to_numpy() for c in ("i", "j", "band_key"))
             sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), "<u4").reshape(t.num_rows, -1)
-            us, vs = [], []
+            out: dict[str, list] = {c: [] for c in ("band_key", "i", "j", "rep", "partners")}
             for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                split = i_[a] != j_[a]
+                split, pairs = i_[a] != j_[a], {}
                 right = np.arange(a, b)[blk[a:b] == j_[a]] if split else np.arange(a, b)
                 for x in np.arange(a, b)[blk[a:b] == i_[a]].tolist() if split else range(a, b - 1):
                     y = right if split else right[right > x]
@@ -173,13 +175,55 @@ def _cross(members: DataFrame, bands: int, low: float) -> DataFrame:
                     if near.any():
                         y, eq = y[near], eq[near]
                         first = eq.reshape(len(y), bands, -1).all(axis=2).argmax(axis=1)
-                        y = y[first == band[x]]
-                        us += [rep[x]] * len(y)
-                        vs += rep[y].tolist()
+                        y = rep[y[first == band[x]]].tolist()
+                        if y:
+                            pairs[int(rep[x])] = y
+                alone = {v for y in pairs.values() for v in y}.difference(pairs)
+                for r, y in [*pairs.items(), *((v, []) for v in sorted(alone))]:
+                    for c, v in zip(out, (keys[a], i_[a], j_[a], r, y), strict=True):
+                        out[c].append(v)
+            if out["rep"]:
+                kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), kinds, strict=True)], list(out))
+
+    return m.repartition("band_key", "i", "j").sortWithinPartitions("band_key", "i", "j").mapInArrow(run, "band_key long, i int, j int, rep long, partners array<long>")
+
+
+def _confirm_groups(tests: DataFrame, docs: DataFrame, k: int, above, text: str, key: str) -> DataFrame:
+    """The links (u, v) among the pairs that _cross() found. Each member brings its text to its block once; pairs are never rows."""
+    num, den = above
+
+    def run(batches):
+        for t, cuts in whole_groups(batches, ["band_key", "i", "j"]):
+            us, vs = [], []
+            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                part = t.slice(a, b - a)
+                sets: dict[int, list] = {}
+                for r, s in zip(part.column("rep").to_pylist(), shingle_sets(part.column("text").combine_chunks(), k), strict=True):
+                    sets.setdefault(r, []).append(s)
+                for u, partners in zip(part.column("rep").to_pylist(), part.column("partners").to_pylist(), strict=True):
+                    for v in partners:
+                        if any(_linked(x, y, num, den) for x in sets[u] for y in sets.get(v, ())):
+                            us.append(u)
+                            vs.append(v)
             if us:
                 yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], ["u", "v"])
 
-    return m.repartition("band_key", "i", "j").sortWithinPartitions("band_key", "i", "j").mapInArrow(run, "u long, v long")
+    ids = tests.select(F.col("rep").alias("id")).distinct()
+    if ids.count() <= BROADCAST_IDS:
+        ids = F.broadcast(ids)
+    d = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text")).join(ids, "id", "left_semi")
+    rows = tests.join(d, tests["rep"] == d["id"]).select("band_key", "i", "j", "rep", "partners", "text")
+    return rows.repartition("band_key", "i", "j").sortWithinPartitions("band_key", "i", "j").mapInArrow(run, "u long, v long")
+
+
+def _linked(x: np.ndarray, y: np.ndarray, num: int, den: int) -> bool:
+    short, long_ = (x, y) if len(x) <= len(y) else (y, x)
+    if not len(short) or den * len(short) < num * len(long_):
+        return False
+    at = np.searchsorted(long_, short)
+    same = int((long_[np.minimum(at, len(long_) - 1)] == short).sum())
+    return den * same >= num * (len(x) + len(y) - same)
 
 
 def near_duplicates(docs: DataFrame, *, k: int = 5, above: tuple[int, int] = (80, 100), bands: int = BANDS, rows: int = ROWS, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -210,7 +254,7 @@ def near_duplicates(docs: DataFrame, *, k: int = 5, above: tuple[int, int] = (80
     mixed = cells.groupBy("band_key").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.count("*").alias("size")).where("a <> b").select("band_key", "size")
     members = cells.join(mixed, "band_key").join(sigs, "rep")
     rest = stored(_cross(members, bands, low), "pairs")
-    more = stored(_confirm(rest, docs, k, above, text, key), "links")
+    more = stored(_confirm_groups(rest, docs, k, above, text, key), "links")
     if more.count():
         labels = components(links.union(more))
     final = reps.join(labels, reps["rep"] == labels["node"], "left").select("h1", "h2", F.col("n").alias("m"), F.coalesce("label", "rep").alias("c"))
