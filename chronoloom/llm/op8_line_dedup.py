@@ -4,7 +4,7 @@ For each host, the number of its pages that contain a line is divided by the num
 ratio is above `ratio` (and which is on at least `min_pages` pages) is boilerplate of that host and is dropped from all of its pages.
 
 Only hashes of lines (128 bits) are shuffled, once for each page and distinct line and pre-aggregated; texts stay
-where they are. A host has at most (lines per page) / ratio boilerplate lines, so that they fit beside a page; they are broadcast while their
+where they are. A host has at most (lines per page) / ratio boilerplate lines, so that they fit beside a page; they are written once, and broadcast while their
 counted number is within a bound, else joined by the host.
 
 Defined cases: a line that is blank is never boilerplate; a null text has no lines, stays null and still counts as a page of
@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import stored, table
 
 RATIO = 0.1
 MIN_PAGES = 3
@@ -45,9 +45,9 @@ def boilerplate(docs: DataFrame, *, host: str = "source", text: str = "text", ra
 
 def drop_lines(docs: DataFrame, *, host: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """docs with boilerplate lines dropped from `text`, and the columns lines_before and lines_after."""
-    found = boilerplate(docs, host=host, text=text, ratio=ratio, min_pages=min_pages)
+    found = stored(boilerplate(docs, host=host, text=text, ratio=ratio, min_pages=min_pages), "boilerplate")
     each = found.groupBy("host").agg(F.collect_list("h").alias("_bad"), F.collect_list("h.a").alias("_first")).select(F.col("host").alias("_host"), "_bad", "_first")
-    small = (each.agg(F.sum(F.size("_bad")).alias("n")).first()["n"] or 0) <= broadcast_rows
+    small = found.count() <= broadcast_rows
     out = docs.join(F.broadcast(each) if small else each, F.col(host).eqNullSafe(F.col("_host")), "left")
     out = out.withColumn("_lines", lines_of(F.col(text).cast("string")))
     bad = lambda x: F.array_contains("_first", F.xxhash64(x)) & F.array_contains("_bad", line_hash(x))
