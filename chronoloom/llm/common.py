@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that a Python worker handles at once.
 BATCH_BYTES = 8 << 20
+ARROW_BYTES, ARROW_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
 _local: dict[str, str] = {}
 
 
@@ -24,6 +25,9 @@ def importable(spark: SparkSession) -> None:
     paths = [x for x in env.get("PYTHONPATH", "").split(os.pathsep) if x]
     if root not in paths:
         env["PYTHONPATH"] = os.pathsep.join([*paths, root])
+    # texts can be long: what goes to a Python worker at once is bounded by bytes, not by rows alone
+    if spark.conf.get(ARROW_BYTES, None) == ARROW_DEFAULT:  # a value that the user chose stays
+        spark.conf.set(ARROW_BYTES, BATCH_BYTES)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -82,7 +86,8 @@ def pieces(batch: pa.RecordBatch, text: str = "text", limit: int = BATCH_BYTES):
     n = batch.num_rows
     if not n:
         return
-    size = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(text))), 0)
+    col = batch.column(batch.schema.get_field_index(text))
+    size = pc.fill_null(pc.binary_length(col if pa.types.is_string(col.type) or pa.types.is_large_string(col.type) else col.cast(pa.string())), 0)
     part = np.cumsum(size.to_numpy(zero_copy_only=False), dtype=np.int64) // limit
     cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), n]
     for a, b in zip(cuts[:-1], cuts[1:], strict=True):

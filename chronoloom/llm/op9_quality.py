@@ -18,6 +18,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -175,17 +176,16 @@ def score(docs: DataFrame, model: Model, *, text: str = "text", key: str = "doc_
 
         return _columns(docs, text, key, source, lang).mapInArrow(run, "doc_id long, score double")
 
-    plain = docs.withColumns({"_text": F.col(text).cast("string"), "_source": F.col(source).cast("string"), "_lang": F.col(lang).cast("string"), "_n": F.length(F.col(text).cast("string")).cast("long")})
-
-    names = docs.columns
-
+    # each text goes to the Python workers once: the views are taken from the columns of docs themselves
     def keep_good(batches):
         for batch in batches:
-            for piece in pieces(batch, "_text"):
-                view = pa.table({c: piece.column(f"_{c}") for c in ("text", "source", "lang", "n")})
-                yield piece.filter(pa.array(scored(view) >= keep)).select(names)
+            for piece in pieces(batch, text):
+                view = {"text": piece.column(text), "source": piece.column(source), "lang": piece.column(lang)}
+                view = {c: v if pa.types.is_string(v.type) else v.cast(pa.string()) for c, v in view.items()}
+                keeps = scored(pa.table(view | {"n": pc.utf8_length(view["text"])})) >= keep
+                yield piece.filter(pa.array(keeps))
 
-    return plain.mapInArrow(keep_good, docs.schema)
+    return docs.mapInArrow(keep_good, docs.schema)
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
