@@ -28,7 +28,7 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import new_path, pieces, ragged, split_words, stored, table, word_codes
+from .common import new_path, pieces, ragged, returning, split_words, stored, table, word_codes
 
 MAGIC = b"CLPLANE1"
 BLOCK = 1 << 16
@@ -242,7 +242,7 @@ def write_token_planes(docs: DataFrame, tokenizer: str, folder: str | None = Non
             out.close()
             yield pa.RecordBatch.from_pylist([{"part": part, "path": path, "n_docs": n_docs, "n_ids": n_ids}], pa.schema([("part", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())]))
 
-    return stored(rows.mapInArrow(write, MANIFEST), "token-manifest")
+    return stored(rows.mapInArrow(returning(write), MANIFEST), "token-manifest")
 
 
 def read_documents(path: str):
@@ -287,7 +287,7 @@ def read_digest(manifest: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(lengths), part, np.int32)), doc, pa.array(begin + at), pa.array(lengths), pa.array(crc, pa.int64())], ["part", "doc_id", "at", "n_tokens", "ids_crc32"])
                     at += int(ends[-1])
 
-    rows = manifest.select("part", "path").repartition(n, "part").mapInArrow(read, DIGEST)
+    rows = manifest.select("part", "path").repartition(n, "part").mapInArrow(returning(read), DIGEST)
     return rows.join(starts, "part").select("doc_id", (F.col("file_start") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
 
 

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mix64, pieces, split_words, stored, table, whole_groups, word_codes
+from .common import mix64, pieces, returning, split_words, stored, table, whole_groups, word_codes
 from .components import components
 
 BANDS, ROWS = 32, 5
@@ -89,7 +89,7 @@ def sketch(docs: DataFrame, k: int, bands: int, rows: int, text: str, key: str)
                 yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), to(0), to(64), sig], ["doc_id", "n", "h1", "h2", "sig"])
 
     cols = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return cols.mapInArrow(run, "doc_id long, n long, h1 long, h2 long, sig binary")
+    return cols.mapInArrow(returning(run), "doc_id long, n long, h1 long, h2 long, sig binary")
 
 
 def _alike(pairs: DataFrame, sigs: DataFrame, low: float) -> DataFrame:
@@ -104,7 +104,7 @@ def _alike(pairs: DataFrame, sigs: DataFrame, low: float) -> DataFrame:
 
     s = sigs.select(F.col("rep"), F.col("sig"))
     both = pairs.join(s.withColumnsRenamed({"rep": "u", "sig": "su"}), "u").join(s.withColumnsRenamed({"rep": "v", "sig": "sv"}), "v")
-    return both.select("u", "v", "su", "sv").mapInArrow(run, "u long, v long")
+    return both.select("u", "v", "su", "sv").mapInArrow(returning(run), "u long, v long")
 
 
 def _confirm(pairs: DataFrame, docs: DataFrame, k: int, above, text: str, key: str) -> DataFrame:
@@ -141,7 +141,7 @@ def _confirm(pairs: DataFrame, docs: DataFrame, k: int, above, text: str, key: s
         ids = F.broadcast(ids)
     t = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text")).join(ids, "id", "left_semi")
     both = pairs.join(t.withColumnsRenamed({"id": "u", "text": "tu"}), "u").join(t.withColumnsRenamed({"id": "v", "text": "tv"}), "v")
-    return both.select("u", "v", "tu", "tv").mapInArrow(run, "u long, v long")
+    return both.select("u", "v", "tu", "tv").mapInArrow(returning(run), "u long, v long")
 
 
 def _cross(members: DataFrame, bands: int, low: float) -> DataFrame:
@@ -186,7 +186,7 @@ def _cross(members: DataFrame, bands: int, low: float) -> DataFrame:
                 kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), kinds, strict=True)], list(out))
 
-    return m.repartition("band_key", "i", "j").sortWithinPartitions("band_key", "i", "j").mapInArrow(run, "band_key long, i int, j int, rep long, partners array<long>")
+    return m.repartition("band_key", "i", "j").sortWithinPartitions("band_key", "i", "j").mapInArrow(returning(run), "band_key long, i int, j int, rep long, partners array<long>")
 
 
 def _confirm_groups(tests: DataFrame, docs: DataFrame, k: int, above, text: str, key: str) -> DataFrame:
@@ -214,7 +214,7 @@ def _confirm_groups(tests: DataFrame, docs: DataFrame, k: int, above, text: str,
         ids = F.broadcast(ids)
     d = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text")).join(ids, "id", "left_semi")
     rows = tests.join(d, tests["rep"] == d["id"]).select("band_key", "i", "j", "rep", "partners", "text")
-    return rows.repartition("band_key", "i", "j").sortWithinPartitions("band_key", "i", "j").mapInArrow(run, "u long, v long")
+    return rows.repartition("band_key", "i", "j").sortWithinPartitions("band_key", "i", "j").mapInArrow(returning(run), "u long, v long")
 
 
 def _linked(x: np.ndarray, y: np.ndarray, num: int, den: int) -> bool:

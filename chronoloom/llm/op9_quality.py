@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import pieces, split_words, table, word_codes
+from .common import pieces, returning, split_words, table, word_codes
 
 MOST = 3000
 MOST_BYTES = 48 << 20
@@ -174,7 +174,7 @@ def score(docs: DataFrame, model: Model, *, text: str = "text", key: str = "doc_
                 for piece in pieces(batch):
                     yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(scored(piece), pa.float64())], ["doc_id", "score"])
 
-        return _columns(docs, text, key, source, lang).mapInArrow(run, "doc_id long, score double")
+        return _columns(docs, text, key, source, lang).mapInArrow(returning(run), "doc_id long, score double")
 
     # each text goes to the Python workers once: the views are taken from the columns of docs themselves
     def keep_good(batches):
@@ -185,7 +185,7 @@ def score(docs: DataFrame, model: Model, *, text: str = "text", key: str = "doc_
                 keeps = scored(pa.table(view | {"n": pc.utf8_length(view["text"])})) >= keep
                 yield piece.filter(pa.array(keeps))
 
-    return docs.mapInArrow(keep_good, docs.schema)
+    return docs.mapInArrow(returning(keep_good), docs.schema)
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
