@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import clock
@@ -103,15 +103,19 @@ def expand_recurrence(df: DataFrame, start: str, freq: str, interval: str, count
     """
     n = F.col(count)
     few = F.when(F.col(freq) >= 2, n).when((F.day(start) <= 28), n).when(F.col(freq) == 1, n * 2 + 2).otherwise(n * 8 + 8)
-    d = df.withColumn("_i", F.explode(F.sequence(F.lit(0), F.greatest(few - 1, F.lit(0)))))
-    step = F.col("_i") * F.col(interval)
-    day = F.when(F.col(freq) == 3, F.date_add(start, step)).when(F.col(freq) == 2, F.date_add(start, step * 7)).when(F.col(freq) == 1, F.add_months(start, step)).otherwise(F.add_months(start, step * 12))
-    d = d.withColumn("occurs", day).where((F.col(freq) >= 2) | (F.day("occurs") == F.day(start)))
-    keys = [c for c in df.columns]
-    d = d.withColumn("occurrence", F.row_number().over(Window.partitionBy(*keys).orderBy("_i")) - 1).where(F.col("occurrence") < n)
+
+    def day(i):
+        step = i * F.col(interval)
+        return F.when(F.col(freq) == 3, F.date_add(start, step)).when(F.col(freq) == 2, F.date_add(start, step * 7)).when(F.col(freq) == 1, F.add_months(start, step)).otherwise(F.add_months(start, step * 12))
+
+    # counted within the row, so that equal rows keep their own occurrences
+    days = F.transform(F.sequence(F.lit(0), F.greatest(few - 1, F.lit(0))), day)
+    days = F.filter(days, lambda d: (F.col(freq) >= 2) | (F.day(d) == F.day(start)))
+    d = df.select("*", F.posexplode(F.slice(days, F.lit(1), F.greatest(n, F.lit(0)))).alias("occurrence", "occurs"))
+    d = d.select(*df.columns, "occurs", "occurrence")
     if until:
         d = d.where(F.col(until).isNull() | (F.col("occurs") <= F.col(until)))
-    return d.drop("_i")
+    return d
 
 
 def out_of_bounds(day: Column, kind: Column, days: Column, calendar_days: Column, range_start: Column, range_end: Column, today: Column) -> Column:

@@ -380,6 +380,12 @@ def t12_weekly_recurrence(orders):
     return C.expand_recurrence(o, "start", "freq", "every", "count").select("o_orderkey", F.col("occurrence").cast("int").alias("occurrence"), "occurs")
 
 
+@query("SELECT o_orderkey, CAST(i AS INTEGER) AS occurrence, CAST(CAST(o_orderdate AS DATE) + CAST(i * 14 AS INTEGER) AS DATE) AS occurs FROM orders, (SELECT unnest(range(0, 6)) AS i)")
+def t12_weekly_recurrence_all(orders):
+    o = orders.select("o_orderkey", F.col("o_orderdate").cast("date").alias("start"), F.lit(2).alias("freq"), F.lit(2).alias("every"), F.lit(6).alias("count"))
+    return C.expand_recurrence(o, "start", "freq", "every", "count").select("o_orderkey", F.col("occurrence").cast("int").alias("occurrence"), "occurs")
+
+
 @query("SELECT o_orderkey, CAST(o_orderdate AS DATE) > DATE '1998-01-31' AS rolling_out, CAST(o_orderdate AS DATE) < DATE '1997-01-01' OR CAST(o_orderdate AS DATE) > DATE '1997-12-31' AS range_out FROM orders")
 def t14_out_of_bounds(orders):
     d, day = F.col("o_orderdate").cast("date"), lambda x: F.lit(x).cast("date")

@@ -122,3 +122,9 @@ def test_texts(spark):
     import uuid
 
     assert row[:4] == ("Meet Ann!", "30 min between h and g", "a, b & c", "Daily") and row["u"] == str(uuid.uuid5(uuid.NAMESPACE_URL, "x"))
+
+
+def test_equal_rows_have_their_own_occurrences(spark):
+    df = spark.createDataFrame([(dt.date(2022, 1, 31), 1, 1, 3)] * 2 + [(dt.date(2022, 1, 3), 2, 1, 2)] * 2 + [(dt.date(2022, 1, 3), 2, 1, 0)], "start date, freq int, every int, n int")
+    got = sorted((r["start"].day, r["occurrence"], r["occurs"]) for r in C.expand_recurrence(df, "start", "freq", "every", "n").collect())
+    assert got == [(3, 0, dt.date(2022, 1, 3))] * 2 + [(3, 1, dt.date(2022, 1, 10))] * 2 + [(31, i, dt.date(2022, m, 31)) for i, m in enumerate((1, 3, 5)) for _ in "ab"]

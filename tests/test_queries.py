@@ -37,3 +37,8 @@ def test_query(spark, duck, name):
     cols = sorted(got.columns)
     want = duck.execute(f"SELECT {', '.join(cols)} FROM ({registry.oracle_sql()[name]})").fetchall()
     assert rows(map(tuple, got.select(*cols).collect())) == rows(want)
+
+
+def test_every_order_recurs(spark):
+    n = registry.load(spark, DATA, "orders").count()
+    assert registry.queries()["t12_weekly_recurrence_all"](spark, DATA).count() == 6 * n
