@@ -2,8 +2,10 @@
 
 A page is parsed to a tree that tolerates unclosed tags. Each node's density is its characters per tag, adjusted by
 its share of link characters and link tags and by the page's own link ratio (the composite text density of Sun, Song
-and Liao, 2011). The node whose children's densities have the largest sum is the main subtree; the least density on
-the path from the body to it is the threshold below which link-heavy parts of the subtree are dropped.
+and Liao, 2011). The least density on the path from the body to the node whose children's densities have the largest
+sum is the threshold. Every node that reaches it, or the density of the sparsest block of text in that densest node, by its
+density or its children's sum marks the node of largest sum below itself, and the main text is the least subtree with
+all that is marked (one in each outermost article or main, if the page has them), without link-heavy parts below the threshold.
 Elements that by name, role or class are menus, headers, footers, sidebars, notices, adverts, forms or comments take no part.
 
 Defined cases: null or empty html gives the empty text; a page without tags is one block; unclosed comments and raw elements
@@ -166,24 +168,46 @@ def densities(tree: Tree) -> tuple[list[float], list[float], list[list[int]]]:
     return density, sums, [chars, tags, lchars, ltags]
 
 
-def main_subtree(tree: Tree, density: list[float], sums: list[float], chars: list[int]) -> tuple[int, float]:
-    """The root of the main text, and the least density on the path from the body to it."""
+def main_subtrees(tree: Tree, density: list[float], sums: list[float], chars: list[int], lchars: list[int]) -> tuple[set[int], float]:
+    """The roots of the main text, and the least density on the path from the body to its densest part."""
     n, body = len(tree.tag), tree.body()
-    inside = [False] * n  # under an article or main element, if the page has one with text
-    for i in range(n):
-        inside[i] = (tree.tag[i] in ("article", "main") and not tree.out[i] and chars[i] > 0) or (i > 0 and inside[tree.parent[i]])
-    open_ = [i for i in range(n) if not tree.out[i] and chars[i] and (inside[i] or not any(inside))]
-    best = max(open_, key=lambda i: (sums[i], chars[i], -i), default=body)
-    least, i = math.inf, best
-    while i > 0:
-        least = min(least, density[i])
-        i = -1 if i == body else tree.parent[i]
-    i = best
-    while i > 0:  # a heading beside the densest part belongs to its article
-        if tree.tag[i] in ("article", "main"):
-            return i, least
+    top = [0] * n  # the outermost article or main element around a node, if it has text
+    for i in range(1, n):
+        top[i] = top[tree.parent[i]] or (i if tree.tag[i] in ("article", "main") and not tree.out[i] and chars[i] else 0)
+    some = any(top)
+    open_ = [i for i in range(n) if not tree.out[i] and chars[i] and (top[i] or not some)]
+    if not open_:
+        return {body}, math.inf
+    rank = lambda i: (sums[i], chars[i], -i)
+    best = max(open_, key=rank)
+    least, i = density[best], best
+    while i not in (0, body):
         i = tree.parent[i]
-    return best, least
+        least = min(least, density[i])
+    densest = list(range(n))  # of each node, the node of largest sum in its subtree
+    for i in reversed(open_):
+        p = tree.parent[i]
+        if p >= 0 and rank(densest[i]) > rank(densest[p]):
+            densest[p] = densest[i]
+    sparse = min([least, *(density[i] for i in open_ if tree.parent[i] == best and tree.tag[i] in BLOCK and density[i] and 2 * lchars[i] <= chars[i])])
+    marks = {best} | {densest[i] for i in open_ if max(density[i], sums[i]) >= sparse}
+    below, total, roots = [0] * n, {}, {}
+    for i in range(n - 1, -1, -1):
+        below[i] += i in marks
+        if i:
+            below[tree.parent[i]] += below[i]
+    for i in marks:
+        total[top[i]] = total.get(top[i], 0) + 1
+    for i in open_:  # the last with all marks is the lowest
+        if below[i] == total.get(top[i]):
+            roots[top[i]] = i
+    out = set()
+    for root in roots.values():
+        i = root
+        while i > 0 and tree.tag[i] not in ("article", "main"):  # a heading beside the densest part belongs to its article
+            i = tree.parent[i]
+        out.add(i or root)
+    return out, least
 
 
 def main_text(page: str | None) -> str:
@@ -191,12 +215,12 @@ def main_text(page: str | None) -> str:
         return ""
     tree = Tree(page)
     density, sums, (chars, _, lchars, ltags) = densities(tree)
-    root, least = main_subtree(tree, density, sums, chars)
+    roots, least = main_subtrees(tree, density, sums, chars, lchars)
     n = len(tree.tag)
     mine = [False] * n
     for i in range(n):
-        within = i == root or (i > 0 and mine[tree.parent[i]])
-        heavy = i != root and tree.tag[i] in BLOCK and tree.tag[i] not in KEEP_TAGS and ltags[i] >= 2 and 2 * lchars[i] > chars[i] and density[i] < least
+        within = i in roots or (i > 0 and mine[tree.parent[i]])
+        heavy = i not in roots and tree.tag[i] in BLOCK and tree.tag[i] not in KEEP_TAGS and ltags[i] >= 2 and 2 * lchars[i] > chars[i] and density[i] < least
         mine[i] = within and not tree.out[i] and not heavy
     blocks, parts = [], []
     for i, t in [*tree.texts, (0, None)]:

@@ -233,3 +233,15 @@ def test_html(page, text):
 def test_html_rows(spark):
     d = spark.createDataFrame([(1, None, None), (1, "u", "<p>x"), (None, "v", "<p>" + "y" * 100_000)], "page_id long, url string, html string").withColumn("text", F.lit(1))
     assert sorted(r["n_chars"] for r in o10.extract(d).collect()) == [0, 1, 100_000] and o10.extract(d.where("false")).count() == 0
+
+
+def test_html_keeps_all_dense_parts():
+    texts = [" ".join(f"word{j}x{i}" for i in range(30)) for j in range(15)]
+    part = lambda j: "<div class=section>" + "".join(f"<p>{t}</p>" for t in texts[5 * j : 5 * j + 5]) + "</div>"
+    links = "<ul>" + "<li><a href=x>Somewhere else</a>" * 9 + "</ul>"
+    for n in (2, 3):
+        want = "\n\n".join(["Title", *texts[: 5 * n]])
+        parts = "<h1>Title</h1>" + "".join(map(part, range(n)))
+        assert o10.main_text(f"<body>{links}<div id=content>{parts}</div>{links}</body>") == want
+        assert o10.main_text(f"<div id=content>{parts}</div>") == want
+        assert o10.main_text("<body>" + "".join(f"<article>{part(j)}</article>" for j in range(n)) + links) == "\n\n".join(texts[: 5 * n])
