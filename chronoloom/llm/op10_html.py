@@ -6,7 +6,10 @@ and Liao, 2011). The least density on the path from the body to the node whose c
 sum is the threshold. Every node that reaches it, or the density of the sparsest block of text in that densest node, by its
 density or its children's sum marks the node of largest sum below itself, and the main text is the least subtree with
 all that is marked (one in each outermost article or main, if the page has them), without link-heavy parts below the threshold.
-Elements that by name, role or class are menus, headers, footers, sidebars, notices, adverts, forms or comments take no part.
+Elements that by name, role or class are menus, headers, footers, sidebars, notices, adverts, forms or comments take no part,
+unless they hold the page's largest article or main element, longer than all text that is left without it, or, where no such
+element is free, most of the page's text outside links.
+A class counts as a whole: has-sidebar is no sidebar, but a cookie-banner is made of such names alone.
 
 Defined cases: null or empty html gives the empty text; a page without tags is one block; unclosed comments and raw elements
 end with the page; rows with equal ids are separate; an empty table gives an empty result; whole pages are parsed, whatever their length.
@@ -38,6 +41,8 @@ AWAY_ROLES = frozenset("navigation banner contentinfo complementary search form
 AWAY_NAMES = frozenset(
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus disclaimer footer header masthead menu modal nav navbar navigation newsletter notice popup promo promoted related reply respond share sharing sidebar signup social sponsor sponsored subscribe toolbar topbar widget".split()
 )
+#: Elements that hold controls or data and never a page's main text.
+NEVER = frozenset("head select button".split())
 #: Elements that a page's main text may stand in even if their class has one of the names.
 KEEP_TAGS = frozenset("html body article main h1 h2 h3 h4 h5 h6 p".split())
 
@@ -47,6 +52,12 @@ _SPACE = re.compile(r"\s+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
+def _named(token: str) -> bool:
+    """Is a class made of the names alone? Other pieces say more of an element than that it is one of them."""
+    names = [x for x in re.split(r"[^a-z]+", token) if x]
+    return bool(names) and AWAY_NAMES.issuperset(names)
+
+
 def away(tag: str, attrs: str) -> bool:
     """Is the element no part of a main text by its name, role, class or id?"""
     if tag in AWAY_TAGS:
@@ -59,7 +70,7 @@ def away(tag: str, attrs: str) -> bool:
             return True
         if name == "style" and _HIDDEN.search(value):
             return True
-        if name in ("class", "id") and tag not in KEEP_TAGS and not AWAY_NAMES.isdisjoint(re.split(r"[^a-z]+", value)):
+        if name in ("class", "id") and tag not in KEEP_TAGS and any(_named(x) for x in value.split()):
             return True
     return False
 
@@ -91,13 +102,50 @@ class Tree:
                 self._make_room(open_, tag)
                 self.tag.append(tag)
                 self.parent.append(open_[-1])
-                self.out.append(self.out[open_[-1]] or tag == "head" or away(tag, attrs))
+                self.out.append(tag == "head" or away(tag, attrs))
                 if tag in BLOCK or tag == "br":
                     self.texts.append((open_[-1], " " if tag == "br" else None))
                 if tag not in VOID and not (attrs or "").endswith("/"):
                     open_.append(len(self.tag) - 1)
             elif end:
                 self._close(open_, end.lower())
+        if any(self.out):
+            self._leave_out()
+
+    def _leave_out(self) -> None:
+        """Pass on what is left out to all below, but for elements that hold the page's main text."""
+        n = len(self.tag)
+        chars, link = [0] * n, [False] * n
+        for i in range(1, n):
+            link[i] = self.tag[i] == "a" or link[self.parent[i]]
+        for i, t in self.texts:
+            if t and not link[i]:
+                chars[i] += len(_SPACE.sub(" ", t).strip())
+        for i in range(n - 1, 0, -1):
+            chars[self.parent[i]] += chars[i]
+        mains = [i for i in range(1, n) if self.tag[i] in ("article", "main") and not self.out[i] and chars[i]]
+        main = max(mains, key=lambda i: chars[i], default=0)
+        below = self._below()
+        if all(below[i] for i in mains):  # no article or main is free
+            for i in range(1, n):
+                if 2 * chars[i] > chars[0] and self.tag[i] not in NEVER:
+                    self.out[i] = False
+            below = self._below()
+        if below[main]:
+            free = chars[0] - sum(chars[i] for i in range(1, n) if below[i] and not below[self.parent[i]])
+            i = self.parent[main] if chars[main] > free else 0
+            while i > 0:
+                self.out[i] = self.out[i] and self.tag[i] in NEVER
+                i = self.parent[i]
+            below = self._below()
+        self.out = below
+
+    def _below(self) -> list[bool]:
+        """Is the node or one above it left out?"""
+        below = list(self.out)
+        for i in range(1, len(below)):
+            below[i] = below[i] or below[self.parent[i]]
+        return below
 
     def body(self) -> int:
         return next((i for i, t in enumerate(self.tag) if t == "body"), 0)

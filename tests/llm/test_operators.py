@@ -245,3 +245,17 @@ def test_html_keeps_all_dense_parts():
         assert o10.main_text(f"<body>{links}<div id=content>{parts}</div>{links}</body>") == want
         assert o10.main_text(f"<div id=content>{parts}</div>") == want
         assert o10.main_text("<body>" + "".join(f"<article>{part(j)}</article>" for j in range(n)) + links) == "\n\n".join(texts[: 5 * n])
+
+
+@pytest.mark.parametrize("name", ["has-sidebar", "content-with-nav", "post no-comments", "sticky-header", "social-share-enabled", "header", "page widget"])
+def test_html_wrappers_keep_their_text(name):
+    text = "Enough words for a paragraph of the page that is read."
+    for tag in ("article", "div"):
+        page = f"<body><nav>Menu</nav><div class='{name}'><{tag}><p>{text}</p><p>{text}</p></{tag}><div class='comments'>first</div></div><div class='cookie-banner'>We use cookies</div>"
+        assert o10.main_text(page) == f"{text}\n\n{text}"
+
+
+def test_html_form_around_the_page():
+    assert o10.main_text("<body><form><header>Top</header><main><p>Some text.</p></main><select><option>a long list of options in a form</select></form>") == "Some text."
+    assert o10.main_text("<body><article><p>Text.</p></article><aside><article>Other</article></aside><div class=comments>" + "<p>I say so too.</p>" * 9) == "Text."
+    assert o10.main_text("<body><form><div><p>Enough text for a page without an article.</p></div><div class=comments><article>Me too</article></div></form>") == "Enough text for a page without an article."
