@@ -292,6 +292,13 @@ def o4_role_order(customer):
     return _members(customer).withColumn("rank_no", rn).where("rank_no <= 3").select("team", "c_custkey", "rank_no")
 
 
+@query("SELECT team, c_custkey, row_number() OVER (PARTITION BY team ORDER BY CASE role WHEN 'OWNER' THEN 2 WHEN 'ADMIN' THEN 1 ELSE 0 END DESC, c_custkey) AS rank_no FROM (" + SEATS + ")")
+def o4_role_order_all(customer):
+    rank = F.when(F.col("role") == "OWNER", 2).when(F.col("role") == "ADMIN", 1).otherwise(0)
+    rn = F.row_number().over(Window.partitionBy("team").orderBy(rank.desc(), "c_custkey"))
+    return _members(customer).select("team", "c_custkey", rn.alias("rank_no"))
+
+
 @query(f"SELECT id, start_s FROM ({BOOK}) WHERE end_s >= {NOW} AND status NOT IN ('CANCELLED', 'REJECTED') ORDER BY start_s, id LIMIT 11 OFFSET 20")
 def o7_page(orders):
     return P.page(P.list_bookings(_bookings(orders), "upcoming", NOW).select("id", "start_s"), "start_s", "id", limit=10, offset=20)

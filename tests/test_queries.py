@@ -42,3 +42,8 @@ def test_query(spark, duck, name):
 def test_every_order_recurs(spark):
     n = registry.load(spark, DATA, "orders").count()
     assert registry.queries()["t12_weekly_recurrence_all"](spark, DATA).count() == 6 * n
+
+
+def test_every_member_has_a_rank(spark):
+    got = registry.queries()["o4_role_order_all"](spark, DATA)
+    assert got.count() == registry.load(spark, DATA, "customer").count() and got.agg({"rank_no": "max"}).first()[0] > 3
