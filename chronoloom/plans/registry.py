@@ -372,7 +372,17 @@ def t10_collective(events):
     few = events.where("user_id <= 3")
     days = _free(events).where("host <= 3")
     n = few.select(F.count_distinct("user_id").alias("n"))
-    return P.pool(days, [], "round_robin").crossJoin(F.broadcast(n)).where(F.size("hosts") == F.col("n")).select("slot_s")  # n is one row
+    return P.pool(days.crossJoin(F.broadcast(n)), ["n"], "collective", F.col("n")).select("slot_s")  # n is one row
+
+
+TEAM = "(SELECT *, CAST(floor(host / 4) AS BIGINT) AS team FROM ({0}))"
+
+
+@query(f"SELECT f.team AS team, s AS slot_s FROM {TEAM.format(FREE)} f JOIN (SELECT team, count(DISTINCT host) AS n FROM {TEAM.format('SELECT user_id AS host FROM events')} GROUP BY team) t ON t.team = f.team GROUP BY f.team, s, n HAVING count(DISTINCT host) = n")
+def t10_collective_all(events):
+    team = F.floor(F.col("host") / 4).cast("bigint").alias("team")
+    size = events.select(F.col("user_id").alias("host")).select("host", team).groupBy("team").agg(F.count_distinct("host").alias("n"))
+    return P.pool(_free(events).select("*", team).join(size, "team"), ["team", "n"], "collective", F.col("n")).select("team", "slot_s")
 
 
 @query(f"SELECT s AS slot_s, string_agg(DISTINCT CAST(host AS VARCHAR), ',' ORDER BY CAST(host AS VARCHAR)) AS hosts FROM ({FREE}) GROUP BY s")

@@ -47,3 +47,10 @@ def test_every_order_recurs(spark):
 def test_every_member_has_a_rank(spark):
     got = registry.queries()["o4_role_order_all"](spark, DATA)
     assert got.count() == registry.load(spark, DATA, "customer").count() and got.agg({"rank_no": "max"}).first()[0] > 3
+
+
+def test_every_team_has_its_collective_slots(spark):
+    hosts = registry.load(spark, DATA, "events").selectExpr("user_id div 4 AS team").distinct().count()
+    got = registry.queries()["t10_collective_all"](spark, DATA)
+    assert got.select("team").distinct().count() == hosts
+    assert got.where("team = 0").count() == registry.queries()["t10_collective"](spark, DATA).count() > 0
