@@ -7,7 +7,8 @@ shards in halves and, at each node, splits the exact block quotas by a multivari
 then takes its quota from the permuted blocks of the source, disjoint from all other shards, and shuffles locally.
 
 What the driver holds is one row per source and per block: the number of blocks is bounded by `max_blocks`, whatever
-the input's size, and sources above `max_sources` raise an error.
+the input's size. With more than `max_sources` sources all of these are tables and the driver holds one row per partition;
+the targets and thresholds follow the same rules, and the blocks are dealt in the order of a hash, a draw of the same kind.
 
 Defined cases: a null text has size 0; documents of size 0 take part in the draw and count no words; a null source is
 a source of its own, the last; rows with the same doc_id are separate documents, and rows equal in doc_id and text
@@ -16,8 +17,10 @@ share their fate; no rows give an empty result; further columns are ignored by a
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import stored, table
@@ -106,7 +109,7 @@ def assign(docs: DataFrame, *, text: str = "text", source: str = "source", key:
     sized = stored(sized.withColumn("h", F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id", "text_hash"), 64 - HASH_BITS)), "mix-sizes")
     sums = sized.groupBy("source").agg(F.sum("size").alias("size")).limit(max_sources + 1).collect()
     if len(sums) > max_sources:
-        raise ValueError(f"more than {max_sources} sources")
+        return _assign_by_tables(sized, weights, share, cap, shards, block_words, max_blocks, seed)
     sums = sorted(sums, key=lambda r: (r["source"] is None, (r["source"] or "").encode("utf-8")))
     sizes = [r["size"] or 0 for r in sums]
     targets = fill(sizes, [weights[i % len(weights)] for i in range(len(sizes))], share, cap) if sums else []
@@ -136,13 +139,83 @@ def assign(docs: DataFrame, *, text: str = "text", source: str = "source", key:
         for block, shard in zip(rng.permutation(n).tolist(), np.repeat(np.arange(shards), dealt[:, c]).tolist(), strict=True):
             rows.append((i, block, k, shard))
     blocks = spark.createDataFrame(rows, "src int, block long, pass int, shard int")
-    owners = blocks.groupBy("src", "block").agg(F.array_sort(F.collect_list(F.struct("pass", "shard"))).alias("owners"))
     cuts = spark.createDataFrame([(i, HASH_BITS - next((k[2] for k in kinds if k[0] == i), 0), int(edge[i])) for i in range(len(sizes))], "src int, drop_bits int, edge long")
+    return _place(numbered, cuts, blocks)
+
+
+def _place(numbered: DataFrame, cuts: DataFrame, blocks: DataFrame) -> DataFrame:
+    """The result of assign(): every document with the shards that own its block in each pass."""
+    owners = blocks.groupBy("src", "block").agg(F.array_sort(F.collect_list(F.struct("pass", "shard"))).alias("owners"))
     placed = numbered.join(cuts, "src").withColumn("block", F.expr("shiftright(h, drop_bits)")).join(owners, ["src", "block"], "left")
     mine = F.filter(F.coalesce("owners", F.array().cast("array<struct<pass:int,shard:int>>")), lambda o: (o["pass"] < F.col("passes")) | (F.col("h") < F.col("edge")))
     return placed.select("doc_id", "text_hash", "source", "size", "source_size", "target", F.transform(mine, lambda o: o["shard"]).alias("shards"))
 
 
+def _counted(df: DataFrame, name: str, *order) -> DataFrame:
+    """df with its place in the order (from 0) as column name. The driver holds one row per partition."""
+    d = stored(df.orderBy(*order).withColumn("_m", F.monotonically_increasing_id()), "mix-order")
+    parts, at, offsets = F.shiftright("_m", 33), 0, []
+    for r in d.groupBy(parts.alias("_p")).count().orderBy("_p").collect():
+        offsets.append((r["_p"], at))
+        at += r["count"]
+    o = d.sparkSession.createDataFrame(offsets, "_p long, _o long")
+    return d.withColumn("_p", parts).join(F.broadcast(o), "_p").withColumn(name, F.col("_o") + F.col("_m").bitwiseAND((1 << 33) - 1)).drop("_m", "_p", "_o")
+
+
+def _targets(sums: DataFrame, share: float, cap: float) -> DataFrame:
+    """fill() as a table: sums (src, source_size, weight) with the column target."""
+    w, size = F.col("weight"), F.col("source_size")
+    first = sums.agg(F.sum(size).alias("s"), F.sum(w).alias("w")).first()
+    left, open_, n = share * first["s"], first["w"], 0
+    while open_:
+        over = F.lit(left) * w / F.lit(open_) > cap * size
+        r = sums.agg(F.count_if(over).alias("n"), F.coalesce(F.sum(F.when(over, size)), F.lit(0)).alias("s"), F.coalesce(F.sum(F.when(~over, w)), F.lit(0.0)).alias("w")).first()
+        if r["n"] == n:
+            return sums.withColumn("target", F.when(over, cap * size).otherwise(F.lit(left) * w / F.lit(open_)))
+        n, left, open_ = r["n"], share * first["s"] - cap * r["s"], r["w"]
+    return sums.withColumn("target", cap * size)
+
+
+def _edges(numbered: DataFrame, sources: DataFrame, levels: int = HASH_BITS // BITS) -> DataFrame:
+    """_thresholds() as a table: src, edge of the sources with a rest."""
+    open_ = sources.where("rest > 0").select("src", F.lit(0).cast("long").alias("prefix"), F.col("rest").alias("want"))
+    edges = []
+    for level in range(1, levels + 1):
+        shift = HASH_BITS - BITS * level
+        p = F.shiftright("h", shift)
+        words = numbered.select("src", "h", "size").join(open_, "src").where(F.shiftright("h", shift + BITS) == F.col("prefix")).groupBy("src", "want", p.alias("p")).agg(F.sum("size").alias("words"))
+        upto = F.sum("words").over(Window.partitionBy("src").orderBy("p"))  # at most 2**BITS rows of a source
+        hit = words.withColumn("upto", upto).where("upto > want").groupBy("src").agg(F.min(F.struct("p", (F.col("want") - F.col("upto") + F.col("words")).alias("want"), "words")).alias("m"))
+        found = stored(open_.join(hit, "src", "left").select("src", "prefix", "m"), "mix-edges")
+        edges.append(found.where("m IS NULL").select("src", F.shiftleft(F.col("prefix") + 1, shift + BITS).alias("edge")))
+        open_ = found.where("m IS NOT NULL").select("src", F.col("m.p").alias("prefix"), F.col("m.want").alias("want"), F.col("m.words").alias("words"))
+        if level == levels:
+            edges.append(open_.select("src", (F.col("prefix") + (F.col("want") * 2 >= F.col("words")).cast("long")).alias("edge")))
+        open_ = open_.drop("words")
+    return reduce(DataFrame.unionByName, edges)
+
+
+def _assign_by_tables(sized: DataFrame, weights, share: float, cap: float, shards: int, block_words: int, max_blocks: int, seed: int) -> DataFrame:
+    """assign() for any number of sources."""
+    sums = _counted(sized.groupBy("source").agg(F.sum("size").alias("source_size")), "src", F.col("source").asc_nulls_last())
+    turn = F.array(*[F.lit(float(w)) for w in weights])[(F.col("src") % len(weights)).cast("int")]
+    sums = _targets(stored(sums.withColumn("weight", turn), "mix-sums"), share, cap)
+    size, passes = F.col("source_size"), F.coalesce(F.floor(F.try_divide("target", "source_size")), F.lit(0)).cast("int")
+    sources = stored(sums.select("src", F.col("source").alias("source_name"), "source_size", "target", passes.alias("passes")).withColumn("rest", F.col("target") - F.col("passes") * size), "mix-sources")
+    numbered = stored(sized.join(sources.drop("rest"), sized["source"].eqNullSafe(sources["source_name"])).drop("source_name"), "mix-numbered")
+    unit = max(block_words, 2 * max(1, sources.agg(F.sum("target")).first()[0]) / max_blocks)
+    bits = F.least(F.lit(20), F.ceil(F.log2(F.greatest(F.lit(1.0), size / F.lit(float(unit)))))).cast("int")
+    cuts = sources.join(_edges(numbered, sources), "src", "left").withColumns({"edge": F.coalesce("edge", F.lit(0).cast("long")), "bits": bits})
+    cuts = stored(cuts.select("src", "passes", "bits", (F.lit(HASH_BITS) - F.col("bits")).alias("drop_bits"), "edge"), "mix-cuts")
+    kinds = cuts.withColumn("pass", F.explode(F.sequence(F.lit(0), F.col("passes"))))
+    n = F.expr("CASE WHEN pass < passes THEN shiftleft(1L, bits) WHEN edge > 0 THEN shiftright(edge - 1, drop_bits) + 1 ELSE 0L END")
+    blocks = kinds.withColumn("n", n).where("n > 0").select("src", "pass", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("block"))
+    dealt = stored(_counted(blocks, "place", F.xxhash64(F.lit(seed), F.lit("deal"), "src", "pass", "block"), "src", "pass", "block"), "mix-blocks")
+    total = max(1, dealt.count())
+    owned = dealt.select("src", "block", "pass", F.floor(F.col("place") * shards / total).cast("int").alias("shard"))
+    return _place(numbered, cuts.select("src", "drop_bits", "edge"), owned)
+
+
 def mix(docs: DataFrame, *, text: str = "text", key: str = "doc_id", seed: int = 7, **how) -> DataFrame:
     """The mix itself: every column of docs once for each copy taken, with mix_shard, mix_copy and mix_order.
 

@@ -259,3 +259,14 @@ def test_html_form_around_the_page():
     assert o10.main_text("<body><form><header>Top</header><main><p>Some text.</p></main><select><option>a long list of options in a form</select></form>") == "Some text."
     assert o10.main_text("<body><article><p>Text.</p></article><aside><article>Other</article></aside><div class=comments>" + "<p>I say so too.</p>" * 9) == "Text."
     assert o10.main_text("<body><form><div><p>Enough text for a page without an article.</p></div><div class=comments><article>Me too</article></div></form>") == "Enough text for a page without an article."
+
+
+def test_mixing_of_any_number_of_sources(spark):
+    rows = [(i, "w " * (i * i % 40), f"s{i % 23}" if i % 5 else None) for i in range(1500)] + [(9000, "", "empty"), (9001, "w", "tiny")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    want, got = ({r["doc_id"]: r for r in o5.assign(d, shards=5, block_words=500, max_sources=m).collect()} for m in (1 << 16, 3))
+    assert want.keys() == got.keys() and len(got) == len(rows)
+    for k, r in got.items():
+        assert r["source_size"] == want[k]["source_size"] and abs(r["target"] - want[k]["target"]) < 1e-6 and len(r["shards"]) == len(want[k]["shards"])
+    assert {s for r in got.values() for s in r["shards"]} == set(range(5))
+    assert o5.mix(d, shards=5, block_words=500, max_sources=3).count() == sum(len(r["shards"]) for r in got.values())
