@@ -93,7 +93,7 @@ def sketch(docs: DataFrame, k: int, bands: int, rows: int, text: str, key: str)
 
 
 def _alike(pairs: DataFrame, sigs: DataFrame, low: float) -> DataFrame:
-    """Pairs (u, v) whose minima agree in at least the share low."""
+    """Pairs (u, v) of documents whose classes' (hu, hv) minima agree in at least the share low."""
 
     def run(batches):
         for b in batches:
@@ -102,8 +102,8 @@ def _alike(pairs: DataFrame, sigs: DataFrame, low: float) -> DataFrame:
                 keep = pa.array((x == y).mean(axis=1) >= low)
                 yield pa.RecordBatch.from_arrays([b.column("u").filter(keep), b.column("v").filter(keep)], ["u", "v"])
 
-    s = sigs.select(F.col("rep"), F.col("sig"))
-    both = pairs.join(s.withColumnsRenamed({"rep": "u", "sig": "su"}), "u").join(s.withColumnsRenamed({"rep": "v", "sig": "sv"}), "v")
+    s = sigs.select("rep", "h1", "sig")
+    both = pairs.join(s.withColumnsRenamed({"rep": "u", "h1": "hu", "sig": "su"}), ["u", "hu"]).join(s.withColumnsRenamed({"rep": "v", "h1": "hv", "sig": "sv"}), ["v", "hv"])
     return both.select("u", "v", "su", "sv").mapInArrow(returning(run), "u long, v long")
 
 
@@ -177,7 +177,7 @@ def _cross(members: DataFrame, bands: int, low: float) -> DataFrame:
                         first = eq.reshape(len(y), bands, -1).all(axis=2).argmax(axis=1)
                         y = rep[y[first == band[x]]].tolist()
                         if y:
-                            pairs[int(rep[x])] = y
+                            pairs.setdefault(int(rep[x]), []).extend(y)
                 alone = {v for y in pairs.values() for v in y}.difference(pairs)
                 for r, y in [*pairs.items(), *((v, []) for v in sorted(alone))]:
                     for c, v in zip(out, (keys[a], i_[a], j_[a], r, y), strict=True):
@@ -233,7 +233,7 @@ def near_duplicates(docs: DataFrame, *, k: int = 5, above: tuple[int, int] = (80
     all_ = stored(sketch(docs, k, bands, rows, text, key), "sketches")
     known = all_.where("n > 0 AND doc_id IS NOT NULL")
     reps = stored(known.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig")), "classes")
-    sigs = reps.select("rep", "sig").dropDuplicates(["rep"])
+    sigs = reps.select("rep", "h1", "sig")  # a doc_id that occurs with several texts may be the least of several classes
     width = 4 * rows
     spread = lambda df, *c: df.select("rep", *c, F.posexplode(F.expr(f"transform(sequence(0, {bands - 1}), j -> xxhash64(j, substring(sig, {width} * j + 1, {width})))")).alias("band", "band_key"))
     # rows of one doc_id are one document
@@ -241,18 +241,18 @@ def near_duplicates(docs: DataFrame, *, k: int = 5, above: tuple[int, int] = (80
     twice = own.groupBy("doc_id").agg(F.min("rep").alias("v"), F.max("rep").alias("w")).where("v <> w").select("doc_id")
     same = own.join(twice, "doc_id").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
     # each representative with the hub that it meets most often
-    cells = spread(reps).select("rep", "band_key")
-    hubs = cells.groupBy("band_key").agg(F.min("rep").alias("hub"), F.count("*").alias("size")).where("size > 1")
-    meet = cells.join(hubs, "band_key").where("rep <> hub").groupBy("rep", "hub").agg(F.count("*").alias("c"))
-    best = meet.groupBy("rep").agg(F.max(F.struct("c", (-F.col("hub")).alias("h"))).alias("m")).select(F.col("rep").alias("u"), (-F.col("m.h")).alias("v"))
+    cells = spread(reps, "h1").select("rep", "h1", "band_key")
+    hubs = cells.groupBy("band_key").agg(F.min(F.struct("rep", "h1")).alias("hub"), F.count("*").alias("size")).where("size > 1")
+    meet = cells.join(hubs, "band_key").where("rep <> hub.rep").groupBy("rep", "h1", "hub").agg(F.count("*").alias("c"))
+    best = meet.groupBy("rep", "h1").agg(F.max(F.struct("c", (-F.col("hub.rep")).alias("h"), F.col("hub.h1").alias("g"))).alias("m")).select(F.col("rep").alias("u"), F.col("h1").alias("hu"), (-F.col("m.h")).alias("v"), F.col("m.g").alias("hv"))
     first = stored(_alike(best, sigs, low), "pairs")
     links = stored(_confirm(first, docs, k, above, text, key).union(same), "links")
     labels = components(links)
     # what is left: buckets with several components
-    named = reps.join(labels, reps["rep"] == labels["node"], "left").select("rep", F.coalesce("label", "rep").alias("label"), "sig")
-    cells = spread(named.select("rep", "label", "sig"), "label").select("rep", "label", "band", "band_key")
+    named = reps.join(labels, reps["rep"] == labels["node"], "left").select("rep", "h1", F.coalesce("label", "rep").alias("label"), "sig")
+    cells = spread(named, "h1", "label").select("rep", "h1", "label", "band", "band_key")
     mixed = cells.groupBy("band_key").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.count("*").alias("size")).where("a <> b").select("band_key", "size")
-    members = cells.join(mixed, "band_key").join(sigs, "rep")
+    members = cells.join(mixed, "band_key").join(sigs, ["rep", "h1"])
     rest = stored(_cross(members, bands, low), "pairs")
     more = stored(_confirm_groups(rest, docs, k, above, text, key), "links")
     if more.count():

@@ -270,3 +270,10 @@ def test_mixing_of_any_number_of_sources(spark):
         assert r["source_size"] == want[k]["source_size"] and abs(r["target"] - want[k]["target"]) < 1e-6 and len(r["shards"]) == len(want[k]["shards"])
     assert {s for r in got.values() for s in r["shards"]} == set(range(5))
     assert o5.mix(d, shards=5, block_words=500, max_sources=3).count() == sum(len(r["shards"]) for r in got.values())
+
+
+def test_near_duplicates_of_each_text_of_a_document(spark):
+    a, b = (" ".join(f"{c}{i}" for i in range(120)) for c in "ab")
+    rows = [(5, a), (5, b), (8, a + " tail"), (9, b + " tail"), (12, "nothing like it")]
+    got = {r["doc_id"]: r["component_id"] for r in o3.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {5: 5, 8: 5, 9: 5, 12: 12}
