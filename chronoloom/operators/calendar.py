@@ -1,4 +1,4 @@
-"""Availability algebra: working hours, slots, recurrence, booking bounds."""
+"""Availability algebra: working hours, slots, recurrence, booking bounds (survey ids T1 to T3, T7, T9, T12, T14, T22, T23; W3, W4)."""
 
 from __future__ import annotations
 

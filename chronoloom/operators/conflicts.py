@@ -1,4 +1,4 @@
-"""Busy intervals and conflicts (survey ids T5, T6, T8, T16 to T18; J16, J17; F16, F17). Times are epoch seconds."""
+"""Busy intervals and conflicts (survey ids T5, T6, T8, T17; J16; F16). Times are epoch seconds."""
 
 from __future__ import annotations
 

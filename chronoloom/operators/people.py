@@ -1,4 +1,4 @@
-"""Pooling, assignment, bookings, teams, mutations (survey ids T10, T11, T15, T19; F18, O7, W2; A8; J4 to J12; M1 to M16)."""
+"""Pooling, assignment, bookings, teams, mutations (survey ids T10, T11, T15, T19; F18, F22; O7; W2; A2, A8, A12; J2, J4, J9, J10; M2, M4, M13, M14, M16, M20; U2, U6)."""
 
 from __future__ import annotations
 

@@ -54,3 +54,10 @@ def test_every_team_has_its_collective_slots(spark):
     got = registry.queries()["t10_collective_all"](spark, DATA)
     assert got.select("team").distinct().count() == hosts
     assert got.where("team = 0").count() == registry.queries()["t10_collective"](spark, DATA).count() > 0
+
+
+def test_docstrings_name_no_missing_method():
+    from chronoloom.operators import calendar, conflicts, people
+
+    said = " ".join(m.__doc__ for m in (calendar, conflicts, people))
+    assert not {"T4", "T13", "T16", "T18", "T21", "J11", "M8", "M15"} & {x.strip(" ,.;()") for x in said.split()} and not any(f"{x} to" in said for x in ("T12", "T16", "T21", "J4", "M1"))
