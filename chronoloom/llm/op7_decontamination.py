@@ -1,15 +1,22 @@
 """Benchmark decontamination with DataFrame functions only.
 
-Windows of ten consecutive words of the benchmark items are hashed; every window of every document is looked up in
+The windows of ten consecutive words of the benchmark items are hashed; every window of every document is looked up in
 that set (broadcast while its counted size is within a bound, else joined by shuffle); a hit counts only if the words themselves
 are equal. Hit documents, or just the hit words, can be removed.
 
+A text is normalised once: A-Z in lower case, one space between words. Windows are not looked up one by one: if the shortest
+window has m words, every window holds a whole block of b = (m + 1) // 2 words that begins at a multiple of b. Each block
+is looked up in the set of all runs of b words of the benchmark; around a block that is found, the windows that
+hold it are looked up and compared. So every row that leaves the scan is a hit or the one row that stands for its document, the cost is
+linear in a document's length, and the scan stays within generated code: it has no lambdas.
+
 Words: A-Z lower-cased, then runs of characters other than ASCII non-alphanumerics. An item with fewer words than a
 window, but not none, is one window.
 
 Defined cases: null text has no words; an item or document without words hits nothing; items that are equal each
-count; rows equal in doc_id and text get equal results, rows with the same doc_id and different texts are separate; empty tables give
-empty (or all-clean) results; a null doc_id is a value like any other; further columns are kept by decontaminate().
+count; rows equal in doc_id and text get equal results, a row for each of them, rows with the same doc_id and different texts are
+separate; empty tables give empty (or all-clean) results; a null doc_id is a value like any other; further columns, whatever their
+names, are kept by decontaminate().
 """
 
 from __future__ import annotations
@@ -17,49 +24,81 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, table
+from .common import ascii_lower, fresh, stored, table
 
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: The characters of words after A-Z are lower-cased, and those between words.
+INSIDE, OUTSIDE = r"[0-9a-z\x{80}-\x{10FFFF}]", r"[\x00-\x2F\x3A-\x60\x7B-\x7F]"
 WIDTH = 10
-#: Most windows that are sent to all executors (24 bytes each).
-BROADCAST_ROWS = 1_000_000
+#: Most windows that are sent to all executors, and most bytes of their words and items.
+BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 256 << 20
+
+
+def normal(text):
+    """The words of a text with one space between them."""
+    return F.trim(F.regexp_replace(ascii_lower(F.coalesce(text.cast("string"), F.lit(""))), OUTSIDE + "+", " "))
+
 
+def number_of_words(norm):
+    return F.when(norm == "", 0).otherwise(F.octet_length(norm) - F.octet_length(F.replace(norm, F.lit(" "), F.lit(""))) + 1).cast("long")
 
-def words_of(text):
-    return F.regexp_extract_all(ascii_lower(F.coalesce(text.cast("string"), F.lit(""))), F.lit(WORD), F.lit(0))
 
+def contexts_of(norm, block: int, longest: int):
+    """For each aligned block of words, in order: the block - 1 words before it, the block, and what the longest window adds.
 
-def windows_of(words, width: int):
-    """Array of (pos, len, h) for all windows of the given width; pos counts from 1."""
-    n = F.size(words) - F.lit(width - 1)
-    some = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.struct(i.alias("pos"), F.lit(width).alias("len"), F.xxhash64(F.slice(words, i, width)).alias("h")))
-    return F.when(n >= 1, some).otherwise(F.array().cast("array<struct<pos:int,len:int,h:bigint>>"))
+    Before the first word stand block - 1 dashes, which are no words.
+    """
+    word = "[^ ]++"
+    padded = F.concat(F.lit("- " * (block - 1)), norm)
+    some = F.regexp_extract_all(padded, F.lit(rf"(?=({word}(?: {word}){{0,{block + longest - 2}}}))(?:{word} ?+){{1,{block}}}"), F.lit(1))
+    return F.when(norm == "", F.array().cast("array<string>")).otherwise(some)
+
+
+def windows_of(norm, width: int):
+    """The windows of a normal text in order, as text."""
+    return F.regexp_extract_all(norm, F.lit(rf"(?<![^ ])(?=([^ ]++(?: [^ ]++){{{width - 1}}}))[^ ]++ ?+"), F.lit(1))
 
 
 def benchmark_windows(benchmark: DataFrame, width: int = WIDTH, text: str = "text", item: str = "item_id") -> DataFrame:
-    """(len, h, gram, items): each distinct window with the sorted ids of the items that have it."""
-    b = benchmark.select(F.col(item).cast("string").alias("item"), words_of(F.col(text)).alias("w")).where(F.size("w") > 0)
-    n = F.least(F.size("w"), F.lit(width))
-    b = b.select("item", "w", n.alias("len"), F.explode(F.sequence(F.lit(1), F.size("w") - n + 1)).alias("pos"))
-    b = b.select("item", "len", F.slice("w", F.col("pos"), F.col("len")).alias("gram"))
-    return b.groupBy("len", F.xxhash64("gram").alias("h"), F.array_join("gram", " ").alias("gram")).agg(F.array_sort(F.collect_set("item")).alias("items"))
+    """(len, gram, items): each distinct window with the sorted ids of the items that have it."""
+    b = benchmark.select(F.col(item).cast("string").alias("item"), normal(F.col(text)).alias("norm")).where("norm <> ''").withColumn("n", number_of_words(F.col("norm")))
+    whole = b.where(F.col("n") < width).select("item", F.col("n").cast("int").alias("len"), F.col("norm").alias("gram"))
+    cut = b.where(F.col("n") >= width).select("item", F.lit(width).alias("len"), F.explode(windows_of(F.col("norm"), width)).alias("gram"))
+    return cut.union(whole).groupBy("len", "gram").agg(F.array_sort(F.collect_set("item")).alias("items"))
+
+
+def _scan(docs: DataFrame, benchmark: DataFrame, width: int, text: str, key: str, item: str, broadcast_rows: int, all_rows: bool) -> DataFrame:
+    """(doc_id, text_hash, n_words, first, span, items): a row for each hit and, with all_rows, one for each row of docs (first)."""
+    grams = stored(benchmark_windows(benchmark, width, item=item), "benchmark-windows")
+    size = F.octet_length("gram") + F.octet_length(F.array_join("items", ",")) + 64
+    sizes = {r["len"]: r for r in grams.groupBy("len").agg(F.count("*").alias("n"), F.sum(size).alias("bytes")).collect()}  # at most `width` rows
+    small = sum(r["n"] for r in sizes.values()) <= broadcast_rows and sum(r["bytes"] for r in sizes.values()) <= BROADCAST_BYTES
+    send = F.broadcast if small else lambda df: df
+    lens = sorted(sizes) or [width]
+    block = (lens[0] + 1) // 2
+    hashed = grams.select(F.xxhash64("len", "gram").alias("h"), F.col("gram").alias("words"), "items")
+    blocks = grams.select(F.explode(windows_of(F.col("gram"), block)).alias("block")).select(F.xxhash64("block").alias("b")).distinct()
+    # explode(array(..)) keeps the optimizer from computing what is inside once for every row that comes of it
+    d = docs.select(F.col(key).alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.explode(F.array(normal(F.col(text)))).alias("norm"))
+    d = d.select("doc_id", "text_hash", F.explode(F.array(F.struct(number_of_words(F.col("norm")).alias("n"), contexts_of(F.col("norm"), block, lens[-1]).alias("around")))).alias("x"))
+    d = d.select("doc_id", "text_hash", F.col("x.n").alias("n_words"), F.posexplode_outer("x.around").alias("j", "around"))
+    middle = F.substring_index(F.substring_index("around", " ", 2 * block - 1), " ", -block)
+    d = d.join(send(blocks), F.xxhash64(middle) == F.col("b"), "left" if all_rows else "inner")
+    start = F.coalesce(F.col("j"), F.lit(0)) == 0
+    d = d.where(start | F.col("b").isNotNull())
+    each = F.array(*[F.struct(F.lit(n).alias("len"), F.lit(n == lens[0]).alias("one"), windows_of(F.when(F.col("b").isNotNull(), F.col("around")), n).alias("w")) for n in lens])
+    d = d.select("doc_id", "text_hash", "n_words", "j", start.alias("start"), F.explode(each).alias("y"))
+    d = d.select("doc_id", "text_hash", "n_words", "j", (F.col("start") & F.col("y.one")).alias("start"), F.col("y.len").alias("len"), F.posexplode_outer("y.w").alias("q", "gram"))
+    at = F.coalesce(F.col("q"), F.lit(0))
+    found = d.where(at < block).join(send(hashed), (F.xxhash64("len", "gram") == F.col("h")) & (F.col("gram") == F.col("words")), "left" if all_rows else "inner")
+    span = F.when(F.col("h").isNotNull(), F.struct((F.col("j") * block - block + F.col("q") + 2).alias("pos"), F.col("len").alias("len")))
+    found = found.select("doc_id", "text_hash", "n_words", (F.col("start") & (at == 0)).alias("first"), span.alias("span"), "items")
+    return found.where("first OR span IS NOT NULL")
 
 
 def find_hits(docs: DataFrame, benchmark: DataFrame, *, width: int = WIDTH, text: str = "text", key: str = "doc_id", item: str = "item_id", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """(doc_id, text_hash, spans, items) of the documents with hits; spans: sorted (pos, len) of the hit windows."""
-    grams = benchmark_windows(benchmark, width, item=item)
-    sizes = {r["len"]: r["n"] for r in grams.groupBy("len").agg(F.count("*").alias("n")).collect()}  # at most `width` rows
-    hashes = grams.select("len", "h").distinct()
-    small = sum(sizes.values()) <= broadcast_rows
-    # explode(array(..)) keeps the optimizer from copying the word split into the lambda, where it would run for every window;
-    # an outer explode infers no filter that would compute the windows once more
-    d = docs.select(F.col(key).alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.explode(F.array(words_of(F.col(text)))).alias("w"))
-    windows = F.concat(*[windows_of(F.col("w"), n) for n in sorted(sizes) or [width]])
-    d = d.select("doc_id", "text_hash", "w", F.explode_outer(windows).alias("x")).select("doc_id", "text_hash", "w", "x.pos", "x.len", "x.h")
-    d = d.join(F.broadcast(hashes) if small else hashes, ["len", "h"], "left_semi")
-    d = d.select("doc_id", "text_hash", "pos", "len", "h", F.array_join(F.slice("w", F.col("pos"), F.col("len")), " ").alias("gram"))
-    found = d.join(grams, ["len", "h", "gram"])
-    return found.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set(F.struct("pos", "len"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
+    """(doc_id, text_hash, spans) of the documents with hits; spans: sorted (pos, len) of the hit windows, pos from 1."""
+    found = _scan(docs, benchmark, width, text, key, item, broadcast_rows, False)
+    return found.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set("span")).alias("spans"))
 
 
 def covered(spans):
@@ -74,31 +113,36 @@ def covered(spans):
     return F.aggregate(spans, zero, step, lambda a: a["n"])
 
 
-def report(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", key: str = "doc_id", **how) -> DataFrame:
+def report(docs: DataFrame, benchmark: DataFrame, *, width: int = WIDTH, text: str = "text", key: str = "doc_id", item: str = "item_id", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """A row for each row of docs: n_words, n_hit, items (array), contaminated."""
-    hits = find_hits(docs, benchmark, text=text, key=key, **how)
-    base = docs.select(F.col(key).alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.regexp_count(ascii_lower(F.coalesce(F.col(text).cast("string"), F.lit(""))), F.lit(WORD)).cast("long").alias("n_words"))
-    both = base.join(hits.withColumnsRenamed({"doc_id": "d", "text_hash": "t"}), base["doc_id"].eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("t")), "left")
-    return both.select("doc_id", "n_words", F.coalesce(covered(F.col("spans")), F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), F.col("spans").isNotNull().alias("contaminated"))
+    found = _scan(docs, benchmark, width, text, key, item, broadcast_rows, True)
+    g = found.groupBy("doc_id", "text_hash").agg(
+        F.max("n_words").alias("n_words"), F.count_if("first").alias("rows"), F.array_sort(F.collect_set("span")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items")
+    )
+    g = g.select("doc_id", "n_words", covered(F.col("spans")).cast("long").alias("n_hit"), "items", (F.size("spans") > 0).alias("contaminated"), "rows")
+    return g.withColumn("rows", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows")))).drop("rows")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, remove: str = "documents", text: str = "text", key: str = "doc_id", broadcast_rows: int = BROADCAST_ROWS, **how) -> DataFrame:
     """docs without the hit documents, or (remove="spans") without the hit words and what follows them up to the next word."""
-    hits = find_hits(docs, benchmark, text=text, key=key, broadcast_rows=broadcast_rows, **how).select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_t"), F.col("spans").alias("_s"))
-    if remove == "documents":
-        hits = hits.drop("_s")
-    small = hits.count() <= broadcast_rows // 10
+    d_, t_, s_, p_, f_ = (fresh(docs, c) for c in ("hit_id", "hit_hash", "hit_spans", "parts", "begins"))
+    found = _scan(docs, benchmark, how.pop("width", WIDTH), text, key, how.pop("item", "item_id"), broadcast_rows, False) if remove == "documents" else find_hits(docs, benchmark, text=text, key=key, broadcast_rows=broadcast_rows, **how)
+    found = found.select("doc_id", "text_hash").distinct() if remove == "documents" else found
+    hits = stored(found.withColumnsRenamed({"doc_id": d_, "text_hash": t_, "spans": s_}), "contaminated")
+    rows = hits.agg(F.count("*").alias("n"), (F.sum(F.size(s_)) if remove == "spans" else F.count("*")).alias("spans")).first()
+    small = rows["n"] + (rows["spans"] or 0) <= broadcast_rows
     hits = F.broadcast(hits) if small else hits
-    same = F.col(key).eqNullSafe(F.col("_d")) & (F.xxhash64(docs[text]) == F.col("_t"))
+    same = F.col(key).eqNullSafe(F.col(d_)) & (F.xxhash64(docs[text]) == F.col(t_))
     if remove == "documents":
         return docs.join(hits, same, "left_anti")
     # words and the rest of the text alternate, so that a piece's place gives its word's number
-    parts = F.regexp_extract_all(F.col(text), F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+|[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"), F.lit(0))
-    first = F.when(F.substring(F.col(text), 1, 1).rlike(r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"), 0).otherwise(1)  # 1: the text begins with a word
-    number = lambda i: F.floor((i + 1 + F.col("_f")) / 2)
-    kept = F.filter("_p", lambda p, i: ~F.exists("_s", lambda s: (number(i) >= s["pos"]) & (number(i) < s["pos"] + s["len"])))
-    out = docs.join(hits, same, "left").withColumns({"_p": parts, "_f": first})
-    return out.withColumn(text, F.when(F.col("_s").isNull(), F.col(text)).otherwise(F.array_join(kept, ""))).select(*docs.columns)
+    inside, outside = r"[0-9A-Za-z\x{80}-\x{10FFFF}]", r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
+    parts = F.regexp_extract_all(F.col(text), F.lit(f"{inside}+|{outside}+"), F.lit(0))
+    first = F.when(F.substring(F.col(text), 1, 1).rlike(outside), 0).otherwise(1)  # 1: the text begins with a word
+    number = lambda i: F.floor((i + 1 + F.col(f_)) / 2)
+    kept = F.filter(p_, lambda p, i: ~F.exists(s_, lambda s: (number(i) >= s["pos"]) & (number(i) < s["pos"] + s["len"])))
+    out = docs.join(hits, same, "left").withColumns({p_: parts, f_: first})
+    return out.withColumn(text, F.when(F.col(s_).isNull(), F.col(text)).otherwise(F.array_join(kept, ""))).select(*docs.columns)
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
