@@ -5,14 +5,17 @@ its share of link characters and link tags and by the page's own link ratio (the
 and Liao, 2011). The least density on the path from the body to the node whose children's densities have the largest
 sum is the threshold. Every node that reaches it, or the density of the sparsest block of text in that densest node, by its
 density or its children's sum marks the node of largest sum below itself, and the main text is the least subtree with
-all that is marked (one in each outermost article or main, if the page has them), without link-heavy parts below the threshold.
+all that is marked, without link-heavy parts below the threshold. Only then do tags count: where the densest node stands in an
+article or main element, what is marked is taken within such elements (one subtree in each outermost one, grown to the
+whole element); else the subtree grows by headings beside it.
 Elements that by name, role or class are menus, headers, footers, sidebars, notices, adverts, forms or comments take no part,
 unless they hold the page's largest article or main element, longer than all text that is left without it, or, where no such
 element is free, most of the page's text outside links.
 A class counts as a whole: has-sidebar is no sidebar, but a cookie-banner is made of such names alone.
 
-Defined cases: null or empty html gives the empty text; a page without tags is one block; unclosed comments and raw elements
-end with the page; rows with equal ids are separate; an empty table gives an empty result; whole pages are parsed, whatever their length.
+Defined cases: null or empty html gives the empty text; a page without tags is one block; unclosed comments, scripts and styles
+end with the page, other raw elements without an end tag hold nothing (a title: the text up to the next tag), and svg and math end where
+a page's own element begins; time and memory are linear in a page's length, whatever its tags; rows with equal ids are separate; an empty table gives an empty result; whole pages are parsed, whatever their length.
 """
 
 from __future__ import annotations
@@ -28,7 +31,11 @@ from pyspark.sql import functions as F
 from .common import pieces, table
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe svg math xmp noembed noframes".split())
+RAW = frozenset("script style textarea title iframe xmp noembed noframes".split())
+#: Elements whose content is no text of the page, parsed like others.
+APART = frozenset("noscript template svg math".split())
+#: Besides blocks, the start tags that end an open svg or math element.
+BREAKS = frozenset("b big br code em i img s small span strong strike sub sup tt u var".split())
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
@@ -42,11 +49,18 @@ AWAY_NAMES = frozenset(
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus disclaimer footer header masthead menu modal nav navbar navigation newsletter notice popup promo promoted related reply respond share sharing sidebar signup social sponsor sponsored subscribe toolbar topbar widget".split()
 )
 #: Elements that hold controls or data and never a page's main text.
-NEVER = frozenset("head select button".split())
+NEVER = frozenset("head select button svg math noscript template".split())
+#: Elements that are something else than the main text even where they hold most of a page's text.
+ASIDE = frozenset("nav footer aside menu dialog".split())
 #: Elements that a page's main text may stand in even if their class has one of the names.
 KEEP_TAGS = frozenset("html body article main h1 h2 h3 h4 h5 h6 p".split())
 
-_TAG = re.compile(r"""<(?:!--.*?(?:--!?>|\Z)|([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|/([a-zA-Z][^\s/>]*)[^>]*>|[!?/][^>]*>|([a-zA-Z][^\s/>]*)([^>]*)>)""", re.S)
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
+CONTAINERS = BLOCK - HEADINGS - {"p", "pre"}
+
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_ATTRS = re.compile(r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+""")
+_COMMENT_END = re.compile(r"--!?>")
 _ATTR = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
 _SPACE = re.compile(r"\s+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
@@ -81,37 +95,100 @@ class Tree:
     def __init__(self, page: str):
         self.tag, self.parent, self.out = ["html"], [-1], [False]
         self.texts: list[tuple[int, str | None]] = []  # None: a block begins or ends
-        open_, at, n = [0], 0, len(page)
+        self.open_, self.places, self.blocks = [0], {"html": [0]}, []  # open nodes; places of tags and of blocks among them
+        self.page, self.endless, self.loose = page, set(), False
+        at, n = 0, len(page)
         while at < n:
-            m = _TAG.search(page, at)
-            upto = m.start() if m else n
+            begin = page.find("<", at)
+            kind, name, attrs, end = self._markup(begin) if begin >= 0 else ("", "", "", n)
+            while kind == "text":  # a "<" that begins no tag
+                begin = page.find("<", begin + 1)
+                kind, name, attrs, end = self._markup(begin) if begin >= 0 else ("", "", "", n)
+            upto = begin if begin >= 0 else n
             if upto > at:
-                self.texts.append((open_[-1], page[at:upto]))
-            if not m:
-                break
-            at = m.end()
-            start, attrs, end = m[1] or m[4], m[2] if m[1] else m[5], m[3]
-            if start:
-                tag = start.lower()
-                if tag in RAW:
-                    stop = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
-                    at = stop.end() if stop else n
-                    continue
-                if tag == "html":
-                    continue
-                self._make_room(open_, tag)
-                self.tag.append(tag)
-                self.parent.append(open_[-1])
-                self.out.append(tag == "head" or away(tag, attrs))
-                if tag in BLOCK or tag == "br":
-                    self.texts.append((open_[-1], " " if tag == "br" else None))
-                if tag not in VOID and not (attrs or "").endswith("/"):
-                    open_.append(len(self.tag) - 1)
-            elif end:
-                self._close(open_, end.lower())
+                self.texts.append((self.open_[-1], page[at:upto]))
+            at = end
+            if kind == "start":
+                at = self._start(name, attrs, at)
+            elif kind == "end":
+                self._close(name)
         if any(self.out):
             self._leave_out()
 
+    def _markup(self, at: int) -> tuple[str, str, str, int]:
+        """What begins at the "<" at `at`: its kind, name, attributes and where it ends."""
+        page, n = self.page, len(self.page)
+        if page.startswith("<!--", at):
+            m = _COMMENT_END.search(page, at + 4)
+            return "", "", "", m.end() if m else n
+        c = page[at + 1 : at + 2]
+        if c in ("!", "?", "/"):
+            m = _NAME.match(page, at + 2) if c == "/" else None
+            stop = page.find(">", m.end() if m else at + 2)
+            return ("end" if m else "", m[0].lower() if m else "", "", stop + 1) if stop >= 0 else ("", "", "", n)
+        m = _NAME.match(page, at + 1)
+        if not m:
+            return "text", "", "", at + 1
+        begin = m.end()
+        if not self.loose:
+            stop = _ATTRS.match(page, begin).end()
+            if stop < n and page[stop] == ">":
+                return "start", m[0].lower(), page[begin:stop], stop + 1
+            self.loose = stop >= n  # quotes up to the page's end hide every ">": from here on they are not believed
+        stop = page.find(">", begin)
+        return ("start", m[0].lower(), page[begin:stop], stop + 1) if stop >= 0 else ("", "", "", n)
+
+    def _has_end(self, tag: str, at: int) -> re.Match | None:
+        """The end tag of a raw element; that there is no further one is looked up once."""
+        if tag in self.endless:
+            return None
+        m = re.compile(rf"</{re.escape(tag)}(?![^\s/>])[^>]*>", re.I).search(self.page, at)
+        if not m:
+            self.endless.add(tag)
+        return m
+
+    def _start(self, tag: str, attrs: str, at: int) -> int:
+        """Open an element; where the parser goes on."""
+        if tag in RAW:
+            m = self._has_end(tag, at)
+            if m:
+                return m.end()
+            if tag in ("script", "style"):
+                return len(self.page)
+            more = self.page.find("<", at) if tag in ("title", "textarea") else at
+            return more if more >= 0 else len(self.page)
+        if tag == "html":
+            return at
+        if tag in BLOCK or tag in BREAKS:
+            for foreign in ("svg", "math"):
+                if self.places.get(foreign):
+                    self._pop(self.places[foreign][0])
+        self._make_room(tag)
+        if tag in ("noscript", "template") and not self._has_end(tag, at):
+            return at
+        self.tag.append(tag)
+        self.parent.append(self.open_[-1])
+        self.out.append(tag == "head" or tag in APART or away(tag, attrs))
+        if tag in BLOCK or tag == "br":
+            self.texts.append((self.open_[-1], " " if tag == "br" else None))
+        if tag not in VOID and not attrs.endswith("/"):
+            self.places.setdefault(tag, []).append(len(self.open_))
+            if tag in BLOCK:
+                self.blocks.append(len(self.open_))
+            self.open_.append(len(self.tag) - 1)
+        return at
+
+    def _pop(self, k: int) -> None:
+        """Close the open nodes from place k on."""
+        for i in self.open_[k:]:
+            self.places[self.tag[i]].pop()
+        del self.open_[k:]
+        while self.blocks and self.blocks[-1] >= k:
+            self.blocks.pop()
+
+    def _last(self, tags) -> int:
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=0)
+
     def _leave_out(self) -> None:
         """Pass on what is left out to all below, but for elements that hold the page's main text."""
         n = len(self.tag)
@@ -128,7 +205,7 @@ class Tree:
         below = self._below()
         if all(below[i] for i in mains):  # no article or main is free
             for i in range(1, n):
-                if 2 * chars[i] > chars[0] and self.tag[i] not in NEVER:
+                if 2 * chars[i] > chars[0] and self.tag[i] not in NEVER | ASIDE:
                     self.out[i] = False
             below = self._below()
         if below[main]:
@@ -150,36 +227,30 @@ class Tree:
     def body(self) -> int:
         return next((i for i, t in enumerate(self.tag) if t == "body"), 0)
 
-    def _make_room(self, open_: list[int], tag: str) -> None:
-        if tag == "body" or (tag in BLOCK and self.tag[open_[-1]] == "head"):
-            while len(open_) > 1 and any(self.tag[i] == "head" for i in open_):
-                open_.pop()
-        if tag in CLOSE_P:
-            for k in range(len(open_) - 1, 0, -1):
-                if self.tag[open_[k]] == "p":
-                    del open_[k:]
-                    break
-                if self.tag[open_[k]] in BLOCK:
-                    break
+    def _make_room(self, tag: str) -> None:
+        if self.places.get("head") and (tag == "body" or (tag in BLOCK and self.tag[self.open_[-1]] == "head")):
+            self._pop(self.places["head"][0])
+        if tag in CLOSE_P and self.places.get("p") and self.places["p"][-1] == self.blocks[-1]:
+            self._pop(self.blocks[-1])
         closes = CLOSES.get(tag)
-        if closes:
-            for k in range(len(open_) - 1, 0, -1):
-                if self.tag[open_[k]] in closes:
-                    del open_[k:]
-                    if tag not in ("tr", "tbody", "tfoot"):
-                        break
-                elif self.tag[open_[k]] in FENCES:
-                    break
-
-    def _close(self, open_: list[int], tag: str) -> None:
-        for k in range(len(open_) - 1, 0, -1):
-            if self.tag[open_[k]] == tag:
-                if any(self.tag[i] in BLOCK for i in open_[k:]):
-                    self.texts.append((open_[k], None))
-                del open_[k:]
-                return
-            if tag not in BLOCK and self.tag[open_[k]] in BLOCK:
-                return
+        while closes:
+            k = self._last(closes)
+            if k <= self._last(FENCES - closes):
+                break
+            self._pop(k)
+            if tag not in ("tr", "tbody", "tfoot"):
+                break
+
+    def _close(self, tag: str) -> None:
+        if tag == "html" or not self.places.get(tag):
+            return
+        k = self.places[tag][-1]
+        within = self.blocks[-1] if self.blocks else 0
+        if tag not in BLOCK and within > k:
+            return
+        if within >= k:
+            self.texts.append((self.open_[k], None))
+        self._pop(k)
 
 
 def densities(tree: Tree) -> tuple[list[float], list[float], list[list[int]]]:
@@ -222,16 +293,21 @@ def main_subtrees(tree: Tree, density: list[float], sums: list[float], chars: li
     top = [0] * n  # the outermost article or main element around a node, if it has text
     for i in range(1, n):
         top[i] = top[tree.parent[i]] or (i if tree.tag[i] in ("article", "main") and not tree.out[i] and chars[i] else 0)
-    some = any(top)
-    open_ = [i for i in range(n) if not tree.out[i] and chars[i] and (top[i] or not some)]
+    open_ = [i for i in range(n) if not tree.out[i] and chars[i]]
     if not open_:
         return {body}, math.inf
     rank = lambda i: (sums[i], chars[i], -i)
-    best = max(open_, key=rank)
+    # a paragraph or heading is text, not a container of it, whatever markup it has inside
+    best = max([i for i in open_ if tree.tag[i] in CONTAINERS] or open_, key=rank)
     least, i = density[best], best
     while i not in (0, body):
         i = tree.parent[i]
         least = min(least, density[i])
+    some = top[best] > 0
+    if some:
+        open_ = [i for i in open_ if top[i]]
+    else:
+        top = [0] * n
     densest = list(range(n))  # of each node, the node of largest sum in its subtree
     for i in reversed(open_):
         p = tree.parent[i]
@@ -249,13 +325,21 @@ def main_subtrees(tree: Tree, density: list[float], sums: list[float], chars: li
     for i in open_:  # the last with all marks is the lowest
         if below[i] == total.get(top[i]):
             roots[top[i]] = i
-    out = set()
-    for root in roots.values():
-        i = root
-        while i > 0 and tree.tag[i] not in ("article", "main"):  # a heading beside the densest part belongs to its article
-            i = tree.parent[i]
-        out.add(i or root)
-    return out, least
+    if some:
+        near = [0] * n  # the innermost article or main element around a node: a heading beside the densest part belongs to it
+        for i in range(1, n):
+            near[i] = i if tree.tag[i] in ("article", "main") else near[tree.parent[i]]
+        return {near[i] or i for i in roots.values()}, least
+    kids: dict[int, list[int]] = {}
+    for i in open_:
+        kids.setdefault(tree.parent[i], []).append(i)
+    i = roots[0]
+    while i not in (0, body):
+        p = tree.parent[i]
+        if chars[p] > sum(chars[j] for j in kids[p]) or not all(j == i or (tree.tag[j] in HEADINGS and 2 * lchars[j] <= chars[j]) for j in kids[p]):
+            break
+        i = p
+    return {i}, least
 
 
 def main_text(page: str | None) -> str:

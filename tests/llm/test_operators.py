@@ -277,3 +277,69 @@ def test_near_duplicates_of_each_text_of_a_document(spark):
     rows = [(5, a), (5, b), (8, a + " tail"), (9, b + " tail"), (12, "nothing like it")]
     got = {r["doc_id"]: r["component_id"] for r in o3.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {5: 5, 8: 5, 9: 5, 12: 12}
+
+
+def _expected(page):
+    """The text of the article of a generated page, by plain cutting: blocks between tags, page order."""
+    import html
+    import re
+
+    body = re.search(r"<article>(.*?)</article>", page, re.S)[1]
+    body = re.sub(r"<br[^>]*>", " ", body)
+    parts = re.split(r"</?(?:p|h1|h2|h3|ul|ol|li|div|table|tr|td|blockquote|pre)\b[^>]*>", body)
+    parts = [" ".join(html.unescape(re.sub(r"<[^>]*>", "", x)).split()) for x in parts]
+    return "\n\n".join(x for x in parts if x)
+
+
+def test_html_of_generated_pages(spark):
+    rows = spark.read.parquet(f"{DATA.replace('0.001', '0.01')}/pages.parquet").select("html").collect()
+    for (page,) in rows:
+        want = _expected(page)
+        assert o10.main_text(page) == want
+        for tag in ("div", "section", "main"):
+            assert o10.main_text(page.replace("<article>", f"<{tag}>").replace("</article>", f"</{tag}>")) == want
+
+
+def test_html_density_decides_before_tags():
+    p = lambda j, n: f"<p>{' '.join(f'word{j}x{i}' for i in range(n))}</p>"
+    links = "<div class=x><ul>" + "<li><a href=x>Somewhere else to go</a>" * 30 + "</ul></div>"
+    long_ = "".join(p(j, 60) for j in range(8))
+    got = o10.main_text(f"<body>{links}<main><p>Short.</p></main><div class=text><h1>T</h1>{long_}</div>{links}")
+    assert got.startswith("T\n\nword0x0") and got.endswith("word7x59") and "Somewhere" not in got
+    assert o10.main_text(f"<body>{links}<div><h1>T</h1><div class=text>{long_}</div></div>{links}") == got
+
+
+@pytest.mark.parametrize(
+    "page,text",
+    [
+        ("<p>a</p><svg/><p>b</p>", "a\n\nb"),
+        ("<p>a</p><svg><path d=x><title>no</title><p>b</p>", "a\n\nb"),
+        ("<p>a</p><svg><text>no</text></svg><p>b</p>", "a\n\nb"),
+        ("<p>a</p><iframe src=x/><p>b</p>", "a\n\nb"),
+        ("<p>a</p><iframe src=x>no</iframe><p>b</p>", "a\n\nb"),
+        ("<p>a</p><noscript><p>b</p>", "a\n\nb"),
+        ("<p>a</p><noscript><p>no</p></noscript><p>b</p>", "a\n\nb"),
+        ("<title>t<p>a</p>", "a"),
+        ("<p>1 < 2 <3</p><p>b", "1 < 2 <3\n\nb"),
+        ("<p>a</p><b \"><p>b</p>", "a\n\nb"),
+    ],
+)
+def test_html_loses_nothing_after_raw_tags(page, text):
+    assert o10.main_text(page) == text
+
+
+@pytest.mark.parametrize("part", ['<a "', "</b>", "</i></div>", "<i>", "<div>", "<iframe>", "<b><div></b>", "<li>", '<a ">" ', "<svg>", "<hr>", "<table><tr><td>", "&amp;"])
+def test_html_takes_linear_time(part):
+    import time
+
+    def took(n):
+        page = "<p>" + "<i>" * 2000 + part * n + "x</p>"
+        return min(_timed(lambda: o10.main_text(page), time) for _ in range(3))
+
+    assert took(16_000) < 10 * max(took(4_000), 0.02)
+
+
+def _timed(run, time):
+    began = time.perf_counter()
+    run()
+    return time.perf_counter() - began
