@@ -1,15 +1,19 @@
 """Approximate nearest neighbours: multi-index hashing of learned rotated binary codes.
 
-Codes: vectors are centred and projected on several learned rotations (iterative quantisation from different
-starts), 64 bits each; the fit uses a bounded sample (`sample`). A code is split into substrings of 8 bits, and every
-substring has an index from its value to rows. A query probes, in every index, all values within s flips; by the
-pigeonhole principle that retrieves every code within Hamming radius m * (s + 1) - 1 (m substrings). s grows until
-the k-th nearest code lies `slack` bits inside that radius; every retrieved code within the k-th distance plus slack is
+Codes: vectors are centred and projected on several learned rotations (iterative quantisation from different starts) of
+their principal axes; the signs are the bits. A code is split into `tables` substrings of `bits` bits. The index of a substring
+is a table of rows (table, value, entry), built once; a query looks up, in every table, all values within s flips of its own, so that
+it goes only to the buckets that it matches. By the pigeonhole principle that retrieves every code within the Hamming radius
+tables * (s + 1) - 1, and far codes by each substring that agrees as well. What is retrieved within the rerank radius is
 reranked by its floats in double precision.
 
+Both s and the rerank radius are calibrated on the learning sample, by exact neighbours within it: s is the least that retrieves
+the share `aim` of them, the radius holds 99.5 % of them. The fit uses a bounded sample (`sample`); every row is indexed.
+A query for which fewer than k rows are found is answered exactly, in blocks of queries against all rows; so are all, if the sample
+shows that even MAX_FLIPS flips retrieve less than the share `aim` (codes then say too little of the distances).
+
 Equal vectors are one entry, which keeps its k + 1 smallest ids: no other id of it can be among any query's k nearest. So a very
-common vector is one row. Entries are dealt by hash to shards of bounded size, each with an index of its own; queries go to
-every shard in blocks, and the shards' answers are merged.
+common vector is one row.
 
 Defined cases: vectors that are null, zero, hold null or non-finite components or have another length than the most
 common one (ties: the shorter) take no part, neither as queries nor as candidates; rows with the same id and vector
@@ -18,134 +22,199 @@ are one candidate; fewer candidates than k are all returned; an empty table give
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import discard, returning, stored, table
 
 K = 10
-ROTATIONS = 4
-SLACK = 30
-SAMPLE = 20_000
-SHARD_ROWS = 1 << 16
-QUERY_BLOCK = 1 << 12
-
-
-def learn(sample: np.ndarray, rotations: int = ROTATIONS, rounds: int = 30, seed: int = 3) -> tuple[np.ndarray, np.ndarray]:
+TABLES, BITS = 96, 16
+#: Most flips of a substring that are probed.
+MAX_FLIPS = 3
+AIM = 0.93
+#: Vectors that the rotations and the radii are fitted on, and how many of them serve as queries there.
+SAMPLE, TRIALS = 20_000, 256
+#: Queries that are answered exactly at once.
+EXACT_BLOCK = 1 << 10
+#: Most bytes of queries that are sent to all executors.
+BROADCAST_BYTES = 64 << 20
+RESULT = "query_id long, rank int, vec_id long, score double"
+
+
+def learn(sample: np.ndarray, bits: int, rounds: int = 15, seed: int = 3) -> tuple[np.ndarray, np.ndarray]:
     """Centre and projection (dims x bits): principal axes, turned by iterative quantisation from several starts."""
     mean = sample.mean(axis=0)
     x = sample - mean
     _, axes = np.linalg.eigh(x.T @ x)
     v = x @ axes
     rng, out = np.random.default_rng(seed), []
-    for _ in range(rotations):
+    while sum(p.shape[1] for p in out) < bits:
         r, _ = np.linalg.qr(rng.standard_normal((v.shape[1],) * 2))
         for _ in range(rounds):
             u, _, w = np.linalg.svd(np.where(v @ r >= 0, 1.0, -1.0).T @ v)
             r = (u @ w).T
         out.append(axes @ r)
-    return mean, np.hstack(out)
-
-
-def encode(x: np.ndarray, model) -> np.ndarray:
-    """Codes as bytes, one row each: every byte is a substring."""
-    mean, proj = model
-    bits = (x - mean) @ proj >= 0
-    pad = -bits.shape[1] % 64
-    return np.packbits(np.pad(bits, ((0, 0), (0, pad))), axis=1, bitorder="little")
-
-
-_FLIPS = [np.array([v for v in range(256) if v.bit_count() == s], np.int64) for s in range(9)]
-
-
-class Index:
-    """One table for each substring of the codes: rows in the order of the substring's value."""
-
-    def __init__(self, codes: np.ndarray):
-        self.words = np.ascontiguousarray(codes).view(np.uint64)
-        self.m = codes.shape[1]
-        self.order = [np.argsort(codes[:, j], kind="stable") for j in range(self.m)]
-        self.start = [np.searchsorted(codes[o, j], np.arange(257)) for j, o in enumerate(self.order)]
-
-    def search(self, code: np.ndarray, k: int, slack: int) -> np.ndarray:
-        """All rows with codes within slack of the k-th nearest code's distance."""
-        n = len(self.words)
-        word, seen = code.view(np.uint64), np.zeros(n, bool)
-        dist = np.full(n, 1 << 14, np.int16)
-        for s in range(9):
-            new = np.zeros(n, bool)
-            for j in range(self.m):
-                start, order = self.start[j], self.order[j]
-                for v in (_FLIPS[s] ^ int(code[j])).tolist():
-                    a, b = start[v], start[v + 1]
-                    if a < b:
-                        new[order[a:b]] = True
-            new &= ~seen
-            at = np.flatnonzero(new)
-            seen[at] = True
-            dist[at] = np.bitwise_count(self.words[at] ^ word).sum(axis=1)
-            sure = self.m * (s + 1) - 1
-            near = dist[dist <= sure]
-            if len(near) >= k and np.partition(near, k - 1)[k - 1] + slack <= sure or s == 8:
-                radius = int(np.partition(dist, min(k, n) - 1)[min(k, n) - 1]) + slack
-                return np.flatnonzero(dist <= radius)
-        return np.zeros(0, np.int64)
+    return mean, np.hstack(out)[:, :bits]
+
+
+def encode(x: np.ndarray, model) -> tuple[np.ndarray, np.ndarray]:
+    """Codes as bytes, one row each, and their substrings as integers (tables x rows)."""
+    mean, proj, bits = model
+    sign = (x - mean) @ proj >= 0
+    weights = 1 << np.arange(bits, dtype=np.int64)
+    parts = sign.reshape(len(x), -1, bits) @ weights
+    return np.packbits(np.pad(sign, ((0, 0), (0, -sign.shape[1] % 64))), axis=1, bitorder="little"), parts
+
+
+def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Hamming distances of all codes of x to the code y."""
+    return np.bitwise_count(x.view(np.uint64) ^ y.view(np.uint64)).sum(axis=1)
+
+
+def calibrate(sample: np.ndarray, model, k: int, aim: float = AIM, trials: int = TRIALS) -> tuple[int, int]:
+    """(s, rerank radius) from the exact k nearest of some rows of the sample."""
+    codes, parts = encode(sample, model)
+    near_parts, near_codes = [0], [0]
+    for i in range(0, len(sample), max(1, len(sample) // trials)):
+        d = np.square(sample - sample[i]).sum(axis=1)
+        d[i] = np.inf
+        near = np.argsort(d, kind="stable")[: min(k, len(d) - 1)]
+        near_parts += np.bitwise_count(parts[near] ^ parts[i]).min(axis=1).tolist()
+        near_codes += distances(codes[near], codes[i]).tolist()
+    return int(np.quantile(near_parts, aim, method="higher")), int(np.quantile(near_codes, 0.995, method="higher"))
+
+
+def flips(bits: int, s: int) -> list[int]:
+    return [sum(1 << i for i in at) for n in range(s + 1) for at in itertools.combinations(range(bits), n)]
 
 
 def _clean(df: DataFrame, key: str, vector: str) -> DataFrame:
-    v = F.transform(F.col(vector), lambda x: x.cast("float"))
+    v = F.transform(F.col(vector), lambda x: x.cast("double"))
     ok = F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("vec", lambda x: x != 0)
     return df.select(F.col(key).cast("long").alias("vec_id"), v.alias("vec")).where(F.col("vec_id").isNotNull() & F.col("vec").isNotNull()).where(ok)
 
 
-def nearest(df: DataFrame, is_query, *, k: int = K, key: str = "vec_id", vector: str = "embedding", rotations: int = ROTATIONS, slack: int = SLACK, sample: int = SAMPLE, shard_rows: int = SHARD_ROWS, query_block: int = QUERY_BLOCK) -> DataFrame:
-    """query_id, rank, vec_id, score: the k nearest rows of df to each row for which is_query (a Column over vec_id) holds."""
+def _matrix(column) -> np.ndarray:
+    """Equally long lists of doubles as an array."""
+    flat = column.combine_chunks().flatten() if isinstance(column, pa.ChunkedArray) else column.flatten()
+    return flat.to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
+def _coded(df: DataFrame, sent, keep: list[str]) -> DataFrame:
+    """keep and vec, with the code and its substrings."""
+
+    def run(batches):
+        for b in batches:
+            if b.num_rows:
+                code, parts = encode(_matrix(b.column("vec")), sent.value)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(parts) + 1, dtype=np.int32) * parts.shape[1]), pa.array(parts.ravel(), pa.int64()))
+                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in (*keep, "vec")), pa.array([c.tobytes() for c in code], pa.binary()), lists], [*keep, "vec", "code", "parts"])
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keep, "vec").schema.fields)
+    return df.select(*keep, "vec").mapInArrow(returning(run), kinds + ", code binary, parts array<long>")
+
+
+def _within(pairs: DataFrame, radius: int, keep: list[str]) -> DataFrame:
+    """The pairs whose codes (code, q_code) lie within the radius, with their Euclidean distance."""
+
+    def run(batches):
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint64).reshape(b.num_rows, -1) for c in ("code", "q_code"))
+            near = pa.array(np.bitwise_count(x ^ y).sum(axis=1) <= radius)
+            b = b.filter(near)
+            if b.num_rows:
+                d = np.sqrt(np.square(_matrix(b.column("vec")) - _matrix(b.column("q_vec"))).sum(axis=1))
+                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(d)], [*keep, "score"])
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pairs.select(*keep).schema.fields)
+    return pairs.select(*keep, "vec", "code", "q_vec", "q_code").mapInArrow(returning(run), kinds + ", score double")
+
+
+def _exact(entries: DataFrame, asks: list, k: int) -> DataFrame:
+    """(query_id, vec_id, score) for a block of queries against all entries; every task keeps its k nearest of each."""
+    sent = entries.sparkSession.sparkContext.broadcast((np.array([r["vec"] for r in asks], np.float64), [r["query_id"] for r in asks]))
+
+    def run(batches):
+        q, names = sent.value
+        best: list[list] = [[] for _ in names]
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x, ids = _matrix(b.column("vec")), b.column("ids").to_pylist()
+            for i, me in enumerate(names):
+                d = np.sqrt(np.square(x - q[i]).sum(axis=1))
+                rows = np.flatnonzero(d <= np.partition(d, k)[k]) if len(d) > k + 1 else np.arange(len(d))
+                best[i] = sorted([*best[i], *((s, j) for s, r in zip(d[rows].tolist(), rows.tolist(), strict=True) for j in ids[r] if j != me)])[:k]
+        rows = [(me, j, s) for me, found in zip(names, best, strict=True) for s, j in found]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], ["query_id", "vec_id", "score"])
+
+    return entries.select("vec", "ids").mapInArrow(returning(run), "query_id long, vec_id long, score double")
+
+
+def nearest(df: DataFrame, is_query, *, k: int = K, key: str = "vec_id", vector: str = "embedding", tables: int = TABLES, bits: int = BITS, aim: float = AIM, sample: int = SAMPLE, report: dict | None = None) -> DataFrame:
+    """query_id, rank, vec_id, score: the k nearest rows of df to each row for which is_query (a Column over vec_id) holds.
+
+    report, a dict, is given s, the radius and the numbers of entries, queries, retrieved and reranked pairs (which costs passes).
+    """
     spark = df.sparkSession
     rows = _clean(df, key, vector)
     sizes = rows.groupBy(F.size("vec").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
-    empty = "query_id long, rank int, vec_id long, score double"
     if not sizes:
-        return spark.createDataFrame([], empty)
+        return spark.createDataFrame([], RESULT)
     rows = rows.where(F.size("vec") == sizes[0]["n"])
     # equal vectors: the smallest ids, reduced by parts first, so that no task gathers a common vector's rows
     keep = lambda c: F.slice(F.array_sort(F.array_distinct(c)), 1, k + 1)
     part = rows.groupBy("vec", F.pmod(F.xxhash64("vec_id"), F.lit(1024)).alias("salt")).agg(keep(F.collect_list("vec_id")).alias("ids"))
-    entries = stored(part.groupBy("vec").agg(keep(F.flatten(F.collect_list("ids"))).alias("ids")), "vectors")
-    n = entries.count()
-    picked = entries.orderBy(F.xxhash64("vec", F.lit(1)), "ids").limit(sample).select("vec").toPandas()["vec"]
-    model = learn(np.array(picked.tolist(), np.float64), rotations)
-    shards = max(1, -(-n // shard_rows))
+    whole = stored(part.groupBy("vec").agg(keep(F.flatten(F.collect_list("ids"))).alias("ids")), "vectors")
+    picked = whole.orderBy(F.xxhash64("vec", F.lit(1)), "ids").limit(sample).select("vec").toArrow()
+    some = _matrix(picked.column("vec"))
+    model = (*learn(some, tables * bits), bits)
+    s, radius = calibrate(some, model, k, aim)
     sent = spark.sparkContext.broadcast(model)
-    base = entries.select(F.pmod(F.xxhash64("vec"), F.lit(shards)).cast("int").alias("shard"), "vec", "ids")
-    asks = rows.where(is_query).dropDuplicates(["vec_id", "vec"]).select("vec_id", "vec")
-    blocks = max(1, -(-asks.count() // query_block))
-    asks = asks.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"))
-    base = base.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-
-    def search(left: pa.Table, right: pa.Table) -> pa.Table:
-        out = {"query_id": [], "vec_id": [], "score": []}
-        if left.num_rows and right.num_rows:
-            x, q = (np.array(t.column("vec").to_pylist(), np.float64) for t in (left, right))
-            ids = left.column("ids").to_pylist()
-            index = Index(encode(x, sent.value))
-            for code, y, me in zip(encode(q, sent.value), q, right.column("vec_id").to_pylist(), strict=True):
-                rows_ = index.search(code, k + 1, slack)
-                d = np.sqrt(np.square(x[rows_] - y).sum(axis=1))
-                if len(d) > k + 1:
-                    near = d <= np.partition(d, k)[k]
-                    rows_, d = rows_[near], d[near]
-                found = sorted((s, i) for s, r in zip(d.tolist(), rows_.tolist(), strict=True) for i in ids[r] if i != me)[:k]
-                out["query_id"] += [me] * len(found)
-                out["score"] += [s for s, _ in found]
-                out["vec_id"] += [i for _, i in found]
-        return pa.table({c: pa.array(v, pa.float64() if c == "score" else pa.int64()) for c, v in out.items()})
-
-    got = base.groupBy("shard", "block").cogroup(asks.groupBy("shard", "block")).applyInArrow(search, "query_id long, vec_id long, score double")
-    got = got.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))  # k rows from each shard
-    return got.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    entries = stored(_coded(whole.withColumn("entry", F.monotonically_increasing_id()), sent, ["entry", "ids"]), "codes")
+    asks = rows.where(is_query).dropDuplicates(["vec_id", "vec"]).select(F.col("vec_id").alias("query_id"), "vec").withColumn("ask", F.monotonically_increasing_id())
+    asks = stored(_coded(asks, sent, ["ask", "query_id"]), "queries")
+    # the index, and the buckets that a query looks up
+    bucket = lambda v: F.col("j").cast("long") * F.lit(1 << bits) + v
+    index = entries.select("entry", F.posexplode("parts").alias("j", "v")).select("entry", bucket(F.col("v")).alias("bucket"))
+    near = F.array(*[F.lit(x) for x in flips(bits, min(s, MAX_FLIPS))])
+    probes = asks.select("ask", F.posexplode("parts").alias("j", "v")).select("ask", "j", "v", F.explode(near).alias("x")).select("ask", bucket(F.col("v").bitwiseXOR(F.col("x"))).alias("bucket"))
+    if s > MAX_FLIPS:
+        probes = probes.where("false")
+    pairs = probes.join(index, "bucket").select("ask", "entry").distinct()
+    q = asks.select("ask", "query_id", F.col("vec").alias("q_vec"), F.col("code").alias("q_code"))
+    n_asks = asks.count()
+    if n_asks * (sizes[0]["n"] * 8 + tables * bits // 8 + 64) <= BROADCAST_BYTES:
+        q = F.broadcast(q)
+    both = pairs.join(entries.select("entry", "vec", "ids", "code"), "entry").join(q, "ask")
+    got = _within(both, radius, ["ask", "query_id", "ids"])
+    if report is not None:
+        report |= {"s": s, "radius": radius, "entries": entries.count(), "queries": n_asks, "retrieved": pairs.count(), "reranked": got.count()}
+    got = got.select("ask", "query_id", F.explode("ids").alias("vec_id"), "score").where("vec_id <> query_id")
+    got = stored(_first(got, ["ask", "query_id"], k), "neighbours")
+    short = asks.join(got.groupBy("ask").count().where(F.col("count") >= k).select("ask"), "ask", "left_anti").select("ask", "query_id", "vec")
+    found = got.select("query_id", "vec_id", "score")
+    blocks = -(-short.count() // EXACT_BLOCK)
+    for i in range(blocks):
+        block = short.where(F.pmod(F.xxhash64("ask"), F.lit(blocks)) == i).select("query_id", "vec").collect()
+        if block:
+            found = found.unionByName(stored(_exact(entries, block, k), "neighbours"))
+    discard(whole)
+    found = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
+    return _first(found, ["query_id"], k).select("query_id", "rank", "vec_id", "score")
+
+
+def _first(found: DataFrame, keys: list[str], k: int) -> DataFrame:
+    """The k nearest of each query, with their rank; partial limits run before the shuffle."""
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy("score", "vec_id"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
 def op1_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:

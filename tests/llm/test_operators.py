@@ -144,7 +144,7 @@ def test_nearest(spark):
     x[100:150] = x[7]
     rows = [(i, v.tolist(), 1) for i, v in enumerate(x)] + [(900, None, 1), (901, [0.0] * 16, 1), (902, [float("nan")] * 16, 1), (903, [None] * 16, 1), (904, [1.0], 1)]
     d = spark.createDataFrame(rows, "vec_id long, embedding array<float>, rank int")
-    got = o1.nearest(d, F.col("vec_id") % 20 == 0, shard_rows=100).orderBy("query_id", "rank").collect()
+    got = o1.nearest(d, F.col("vec_id") % 20 == 0).orderBy("query_id", "rank").collect()
     hits = 0
     for q in range(0, 400, 20):
         dist = np.sqrt(np.square(x.astype(float) - x[q].astype(float)).sum(axis=1))
@@ -343,3 +343,30 @@ def _timed(run, time):
     began = time.perf_counter()
     run()
     return time.perf_counter() - began
+
+
+def test_nearest_by_its_index(spark):
+    rep = {}
+    d = spark.read.parquet(f"{DATA.replace('0.001', '0.1')}/embeddings.parquet")
+    got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in o1.nearest(d, F.col("vec_id") % 100 == 0, report=rep).collect()}
+    rows = d.orderBy("vec_id").collect()
+    x, ids = np.array([r["embedding"] for r in rows], float), [r["vec_id"] for r in rows]
+    hits = 0
+    asked = [i for i, v in enumerate(ids) if v % 100 == 0]
+    for i in asked:
+        dist = np.sqrt(np.square(x - x[i]).sum(axis=1))
+        want = [j for j in np.lexsort((ids, dist)).tolist() if j != i][:10]
+        mine = [got[ids[i], n] for n in range(1, 11)]
+        hits += len({v for v, _ in mine} & {ids[j] for j in want})
+        assert all(abs(s - dist[ids.index(v)]) < 1e-12 for v, s in mine) and [s for _, s in mine] == sorted(s for _, s in mine)
+    every = rep["entries"] * rep["queries"]
+    assert hits / (10 * len(asked)) >= 0.9 and rep["reranked"] / every < 0.05 and rep["retrieved"] / every < 0.6, rep
+    print(hits / (10 * len(asked)), rep)
+
+
+def test_nearest_keeps_doubles_and_answers_every_query(spark):
+    rng = np.random.default_rng(4)
+    far = [(i, (np.eye(8)[i % 8] * 10.0**i).tolist()) for i in range(30)]
+    close = [(100 + i, [1.0 + i * 1e-12, *rng.standard_normal(7).round(1).tolist()][:1] + [1.0] * 7) for i in range(5)]
+    got = o1.nearest(spark.createDataFrame(far + close, "vec_id long, embedding array<double>"), F.lit(True)).collect()
+    assert len(got) == 35 * 10 and all(0 < r["score"] < 1e-11 for r in got if r["query_id"] >= 100 and r["rank"] < 5)
