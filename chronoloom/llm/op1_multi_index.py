@@ -1,11 +1,13 @@
 """Approximate nearest neighbours: multi-index hashing of learned rotated binary codes.
 
 Codes: vectors are centred and projected on several learned rotations (iterative quantisation from different starts) of
-their principal axes; the signs are the bits. A code is split into `tables` substrings of `bits` bits. The index of a substring
-is a table of rows (table, value, entry), built once; a query looks up, in every table, all values within s flips of its own, so that
-it goes only to the buckets that it matches. By the pigeonhole principle that retrieves every code within the Hamming radius
-tables * (s + 1) - 1, and far codes by each substring that agrees as well. What is retrieved within the rerank radius is
-reranked by its floats in double precision.
+their principal axes; the signs are the bits. A code is split into `tables` substrings of `bits` bits, and each substring has an index
+from its value to rows. A query looks up, in every index, all values within s flips of its own. By the pigeonhole principle that retrieves
+every code within the Hamming radius tables * (s + 1) - 1, and of the codes beyond it those with a substring that agrees as well.
+What is retrieved within the rerank radius is reranked by its floats in double precision.
+
+Rows are dealt by hash to shards of bounded size. A shard is one task's work: it builds its indexes once and then takes the queries one
+batch after another, so that neither pairs of rows nor all queries are ever held. Its answers, at most k for a query, are merged.
 
 Both s and the rerank radius are calibrated on the learning sample, by exact neighbours within it: s is the least that retrieves
 the share `aim` of them, the radius holds 99.5 % of them. The fit uses a bounded sample (`sample`); every row is indexed.
@@ -29,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import discard, returning, stored, table
+from .common import ragged, returning, stored, table
 
 K = 10
 TABLES, BITS = 96, 16
@@ -40,8 +42,7 @@ AIM = 0.93
 SAMPLE, TRIALS = 20_000, 256
 #: Queries that are answered exactly at once.
 EXACT_BLOCK = 1 << 10
-#: Most bytes of queries that are sent to all executors.
-BROADCAST_BYTES = 64 << 20
+SHARD_ROWS = 1 << 14
 RESULT = "query_id long, rank int, vec_id long, score double"
 
 
@@ -104,36 +105,82 @@ def _matrix(column) -> np.ndarray:
     return flat.to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
-def _coded(df: DataFrame, sent, keep: list[str]) -> DataFrame:
-    """keep and vec, with the code and its substrings."""
-
-    def run(batches):
-        for b in batches:
-            if b.num_rows:
-                code, parts = encode(_matrix(b.column("vec")), sent.value)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(parts) + 1, dtype=np.int32) * parts.shape[1]), pa.array(parts.ravel(), pa.int64()))
-                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in (*keep, "vec")), pa.array([c.tobytes() for c in code], pa.binary()), lists], [*keep, "vec", "code", "parts"])
-
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keep, "vec").schema.fields)
-    return df.select(*keep, "vec").mapInArrow(returning(run), kinds + ", code binary, parts array<long>")
-
-
-def _within(pairs: DataFrame, radius: int, keep: list[str]) -> DataFrame:
-    """The pairs whose codes (code, q_code) lie within the radius, with their Euclidean distance."""
+class Shard:
+    """The rows of a shard, with one index for each substring: rows in the order of its value."""
+
+    def __init__(self, x: np.ndarray, ids: list, model, s: int):
+        self.x, self.ids, self.model = x, ids, model
+        self.codes, parts = encode(x, model)
+        bits = model[2]
+        self.order = np.argsort(parts, axis=0, kind="stable").astype(np.int32)
+        values = np.take_along_axis(parts, self.order, axis=0)
+        self.start = np.stack([np.searchsorted(values[:, j], np.arange((1 << bits) + 1)) for j in range(parts.shape[1])]).astype(np.int32)
+        self.near = np.array(flips(bits, s), np.int64)
+        self.at = np.arange(parts.shape[1])[:, None]
+
+    def search(self, code: np.ndarray, parts: np.ndarray, y: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, int]:
+        """Rows within the radius among those retrieved, their distances to y, and how many were retrieved."""
+        values = parts[:, None] ^ self.near[None, :]
+        first, last = self.start[self.at, values].ravel(), self.start[self.at, values + 1].ravel()
+        some = np.flatnonzero(last > first)
+        table_ = (some // len(self.near)).astype(np.int64)
+        n = (last[some] - first[some]).astype(np.int64)
+        seen = np.zeros(len(self.x), bool)
+        seen[self.order[ragged(first[some].astype(np.int64), n), np.repeat(table_, n)]] = True
+        rows = np.flatnonzero(seen)
+        near = rows[distances(self.codes[rows], code) <= radius]
+        return near, np.sqrt(np.square(self.x[near] - y).sum(axis=1)), len(rows)
+
+
+def best_of(d: np.ndarray, rows: np.ndarray, ids: list, me, k: int) -> list[tuple[float, int]]:
+    """The k nearest ids of entries `rows` at the distances d, without `me`; ties to smaller ids."""
+    if len(d) > k + 1:
+        near = d <= np.partition(d, k)[k]
+        rows, d = rows[near], d[near]
+    return sorted((s, i) for s, r in zip(d.tolist(), rows.tolist(), strict=True) for i in ids[r] if i != me)[:k]
+
+
+def _search(entries: DataFrame, asks: DataFrame, sent, k: int, s: int, radius: int, shards: int) -> DataFrame:
+    """(shard, ask, query_id, vec_id, score, retrieved, reranked): the answers of every shard to every query."""
+    base = entries.select(F.pmod(F.xxhash64("vec"), F.lit(shards)).cast("int").alias("shard"), F.lit(-1).cast("long").alias("ask"), F.lit(0).cast("long").alias("query_id"), "ids", "vec")
+    q = asks.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), "ask", "query_id", F.array().cast("array<long>").alias("ids"), "vec")
 
     def run(batches):
+        now, parts, index = None, [], None
         for b in batches:
-            if not b.num_rows:
-                continue
-            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint64).reshape(b.num_rows, -1) for c in ("code", "q_code"))
-            near = pa.array(np.bitwise_count(x ^ y).sum(axis=1) <= radius)
-            b = b.filter(near)
-            if b.num_rows:
-                d = np.sqrt(np.square(_matrix(b.column("vec")) - _matrix(b.column("q_vec"))).sum(axis=1))
-                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(d)], [*keep, "score"])
-
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pairs.select(*keep).schema.fields)
-    return pairs.select(*keep, "vec", "code", "q_vec", "q_code").mapInArrow(returning(run), kinds + ", score double")
+            shard, ask = (b.column(c).to_numpy() for c in ("shard", "ask"))
+            cuts = [0, *(np.flatnonzero((np.diff(shard) != 0) | (np.diff(ask < 0))) + 1).tolist(), len(shard)]
+            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                if hi == lo:
+                    continue
+                piece = b.slice(lo, hi - lo)
+                if shard[lo] != now:
+                    now, parts, index = shard[lo], [], None
+                if ask[lo] < 0:
+                    parts.append((_matrix(piece.column("vec")), piece.column("ids").to_pylist()))
+                    continue
+                if index is None and parts:
+                    index = Shard(np.vstack([x for x, _ in parts]), [i for _, ids in parts for i in ids], sent.value, s)
+                    parts = []
+                if index is not None:
+                    out = _answers(index, piece, k, radius)
+                    if out is not None:
+                        yield out
+
+    rows = base.unionByName(q).repartition(shards, "shard").sortWithinPartitions("shard", "ask")
+    return rows.mapInArrow(returning(run), "shard int, ask long, query_id long, vec_id long, score double, retrieved long, reranked long")
+
+
+def _answers(index: Shard, piece: pa.RecordBatch, k: int, radius: int) -> pa.RecordBatch | None:
+    y = _matrix(piece.column("vec"))
+    codes, parts = encode(y, index.model)
+    out: list[tuple] = []
+    for i, (shard, ask, me) in enumerate(zip(*(piece.column(c).to_pylist() for c in ("shard", "ask", "query_id")), strict=True)):
+        rows, d, seen = index.search(codes[i], parts[i], y[i], radius)
+        out += [(shard, ask, me, v, score, seen, len(rows)) for score, v in best_of(d, rows, index.ids, me, k)]
+    kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
+    names = ["shard", "ask", "query_id", "vec_id", "score", "retrieved", "reranked"]
+    return pa.RecordBatch.from_arrays([pa.array([r[j] for r in out], t) for j, t in enumerate(kinds)], names) if out else None
 
 
 def _exact(entries: DataFrame, asks: list, k: int) -> DataFrame:
@@ -149,8 +196,7 @@ def _exact(entries: DataFrame, asks: list, k: int) -> DataFrame:
             x, ids = _matrix(b.column("vec")), b.column("ids").to_pylist()
             for i, me in enumerate(names):
                 d = np.sqrt(np.square(x - q[i]).sum(axis=1))
-                rows = np.flatnonzero(d <= np.partition(d, k)[k]) if len(d) > k + 1 else np.arange(len(d))
-                best[i] = sorted([*best[i], *((s, j) for s, r in zip(d[rows].tolist(), rows.tolist(), strict=True) for j in ids[r] if j != me)])[:k]
+                best[i] = sorted([*best[i], *best_of(d, np.arange(len(d)), ids, me, k)])[:k]
         rows = [(me, j, s) for me, found in zip(names, best, strict=True) for s, j in found]
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], ["query_id", "vec_id", "score"])
@@ -158,10 +204,10 @@ def _exact(entries: DataFrame, asks: list, k: int) -> DataFrame:
     return entries.select("vec", "ids").mapInArrow(returning(run), "query_id long, vec_id long, score double")
 
 
-def nearest(df: DataFrame, is_query, *, k: int = K, key: str = "vec_id", vector: str = "embedding", tables: int = TABLES, bits: int = BITS, aim: float = AIM, sample: int = SAMPLE, report: dict | None = None) -> DataFrame:
+def nearest(df: DataFrame, is_query, *, k: int = K, key: str = "vec_id", vector: str = "embedding", tables: int = TABLES, bits: int = BITS, aim: float = AIM, sample: int = SAMPLE, shard_rows: int = SHARD_ROWS, report: dict | None = None) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest rows of df to each row for which is_query (a Column over vec_id) holds.
 
-    report, a dict, is given s, the radius and the numbers of entries, queries, retrieved and reranked pairs (which costs passes).
+    report, a dict, is given s, the radius and the numbers of entries, queries, retrieved and reranked pairs.
     """
     spark = df.sparkSession
     rows = _clean(df, key, vector)
@@ -172,41 +218,26 @@ def nearest(df: DataFrame, is_query, *, k: int = K, key: str = "vec_id", vector:
     # equal vectors: the smallest ids, reduced by parts first, so that no task gathers a common vector's rows
     keep = lambda c: F.slice(F.array_sort(F.array_distinct(c)), 1, k + 1)
     part = rows.groupBy("vec", F.pmod(F.xxhash64("vec_id"), F.lit(1024)).alias("salt")).agg(keep(F.collect_list("vec_id")).alias("ids"))
-    whole = stored(part.groupBy("vec").agg(keep(F.flatten(F.collect_list("ids"))).alias("ids")), "vectors")
-    picked = whole.orderBy(F.xxhash64("vec", F.lit(1)), "ids").limit(sample).select("vec").toArrow()
+    entries = stored(part.groupBy("vec").agg(keep(F.flatten(F.collect_list("ids"))).alias("ids")), "vectors")
+    picked = entries.orderBy(F.xxhash64("vec", F.lit(1)), "ids").limit(sample).select("vec").toArrow()
     some = _matrix(picked.column("vec"))
     model = (*learn(some, tables * bits), bits)
     s, radius = calibrate(some, model, k, aim)
     sent = spark.sparkContext.broadcast(model)
-    entries = stored(_coded(whole.withColumn("entry", F.monotonically_increasing_id()), sent, ["entry", "ids"]), "codes")
-    asks = rows.where(is_query).dropDuplicates(["vec_id", "vec"]).select(F.col("vec_id").alias("query_id"), "vec").withColumn("ask", F.monotonically_increasing_id())
-    asks = stored(_coded(asks, sent, ["ask", "query_id"]), "queries")
-    # the index, and the buckets that a query looks up
-    bucket = lambda v: F.col("j").cast("long") * F.lit(1 << bits) + v
-    index = entries.select("entry", F.posexplode("parts").alias("j", "v")).select("entry", bucket(F.col("v")).alias("bucket"))
-    near = F.array(*[F.lit(x) for x in flips(bits, min(s, MAX_FLIPS))])
-    probes = asks.select("ask", F.posexplode("parts").alias("j", "v")).select("ask", "j", "v", F.explode(near).alias("x")).select("ask", bucket(F.col("v").bitwiseXOR(F.col("x"))).alias("bucket"))
-    if s > MAX_FLIPS:
-        probes = probes.where("false")
-    pairs = probes.join(index, "bucket").select("ask", "entry").distinct()
-    q = asks.select("ask", "query_id", F.col("vec").alias("q_vec"), F.col("code").alias("q_code"))
-    n_asks = asks.count()
-    if n_asks * (sizes[0]["n"] * 8 + tables * bits // 8 + 64) <= BROADCAST_BYTES:
-        q = F.broadcast(q)
-    both = pairs.join(entries.select("entry", "vec", "ids", "code"), "entry").join(q, "ask")
-    got = _within(both, radius, ["ask", "query_id", "ids"])
+    n = entries.count()
+    asks = stored(rows.where(is_query).dropDuplicates(["vec_id", "vec"]).select(F.col("vec_id").alias("query_id"), "vec").withColumn("ask", F.monotonically_increasing_id()), "queries")
+    got = _search(entries, asks if s <= MAX_FLIPS else asks.where("false"), sent, k, min(s, MAX_FLIPS), radius, max(1, -(-n // shard_rows)))
+    got = stored(got, "neighbours")
     if report is not None:
-        report |= {"s": s, "radius": radius, "entries": entries.count(), "queries": n_asks, "retrieved": pairs.count(), "reranked": got.count()}
-    got = got.select("ask", "query_id", F.explode("ids").alias("vec_id"), "score").where("vec_id <> query_id")
-    got = stored(_first(got, ["ask", "query_id"], k), "neighbours")
-    short = asks.join(got.groupBy("ask").count().where(F.col("count") >= k).select("ask"), "ask", "left_anti").select("ask", "query_id", "vec")
+        sums = got.select("shard", "ask", "retrieved", "reranked").distinct().agg(F.sum("retrieved").alias("retrieved"), F.sum("reranked").alias("reranked")).first()
+        report |= {"s": s, "radius": radius, "entries": n, "queries": asks.count()} | sums.asDict()
+    short = asks.join(got.groupBy("ask").agg(F.count_distinct("vec_id").alias("count")).where(F.col("count") >= k).select("ask"), "ask", "left_anti").select("ask", "query_id", "vec")
     found = got.select("query_id", "vec_id", "score")
     blocks = -(-short.count() // EXACT_BLOCK)
     for i in range(blocks):
         block = short.where(F.pmod(F.xxhash64("ask"), F.lit(blocks)) == i).select("query_id", "vec").collect()
         if block:
             found = found.unionByName(stored(_exact(entries, block, k), "neighbours"))
-    discard(whole)
     found = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     return _first(found, ["query_id"], k).select("query_id", "rank", "vec_id", "score")
 

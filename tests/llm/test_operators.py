@@ -144,7 +144,7 @@ def test_nearest(spark):
     x[100:150] = x[7]
     rows = [(i, v.tolist(), 1) for i, v in enumerate(x)] + [(900, None, 1), (901, [0.0] * 16, 1), (902, [float("nan")] * 16, 1), (903, [None] * 16, 1), (904, [1.0], 1)]
     d = spark.createDataFrame(rows, "vec_id long, embedding array<float>, rank int")
-    got = o1.nearest(d, F.col("vec_id") % 20 == 0).orderBy("query_id", "rank").collect()
+    got = o1.nearest(d, F.col("vec_id") % 20 == 0, shard_rows=100).orderBy("query_id", "rank").collect()
     hits = 0
     for q in range(0, 400, 20):
         dist = np.sqrt(np.square(x.astype(float) - x[q].astype(float)).sum(axis=1))
@@ -348,7 +348,7 @@ def _timed(run, time):
 def test_nearest_by_its_index(spark):
     rep = {}
     d = spark.read.parquet(f"{DATA.replace('0.001', '0.1')}/embeddings.parquet")
-    got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in o1.nearest(d, F.col("vec_id") % 100 == 0, report=rep).collect()}
+    got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in o1.nearest(d, F.col("vec_id") % 100 == 0, report=rep, shard_rows=700).collect()}
     rows = d.orderBy("vec_id").collect()
     x, ids = np.array([r["embedding"] for r in rows], float), [r["vec_id"] for r in rows]
     hits = 0
