@@ -91,6 +91,13 @@ def ascii_lower(col):
     return F.when(F.octet_length(col) == F.char_length(col), F.lower(col)).otherwise(F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
 
 
+def excerpt(text, most: int, parts: int = 16):
+    """The text, or of a longer one `parts` passages from evenly spread places, its begin and end among them, `most` characters in all."""
+    width, n = most // parts, F.length(text)
+    passage = lambda i: F.substr(text, (F.floor((n - width) * i / (parts - 1)) + 1).cast("int"), F.lit(width))
+    return F.when(n > most, F.array_join(F.transform(F.sequence(F.lit(0), F.lit(parts - 1)), passage), " ")).otherwise(text)
+
+
 def pieces(batch: pa.RecordBatch, text: str = "text", limit: int = BATCH_BYTES):
     """Slices of a batch with about `limit` bytes of text each; a row is never cut."""
     n = batch.num_rows

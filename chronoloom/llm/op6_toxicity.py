@@ -6,7 +6,8 @@ are trained together on the labelled documents: a document's score is that of it
 trains on that passage of each document and on random passages of the clean ones. Unseen misspellings share most n-gram vectors with
 the words they come from.
 
-The fit uses a bounded sample, the `MOST` labelled rows of the least hash. Scoring reads whole texts: as average and
+The fit uses a bounded sample, the `MOST` labelled rows of the least hash; of a labelled text of more than `FIT_CHARS` characters it
+uses passages from evenly spread places, of that length in all. Scoring reads whole texts: as average and
 softmax are linear, a word's share of a passage's score is computed once per distinct word.
 
 Defined cases: null or empty text, or text of white space, has the share of toxic labels as its score; labels that are null, or of ids in the held-out fold,
@@ -22,11 +23,11 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import pieces, split_words, table, word_codes
+from .common import excerpt, pieces, returning, split_words, table, word_codes
 
-#: Most labelled documents that the driver trains on, and most bytes of their texts.
+#: Most labelled documents that the driver trains on, and most characters of each.
 MOST = 4000
-MOST_BYTES = 48 << 20
+FIT_CHARS = 50_000
 FOLDS = 5
 BUCKETS, DIM = 1 << 15, 8
 PASSAGE = 12
@@ -121,12 +122,12 @@ def train(texts: pa.Array, toxic: np.ndarray, epochs: int = 14, rate: float = 0.
     return model
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, text: str = "text", key: str = "doc_id", label: str = "toxic", most: int = MOST, train_on=None) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, *, text: str = "text", key: str = "doc_id", label: str = "toxic", most: int = MOST, fit_chars: int = FIT_CHARS, train_on=None) -> Model:
     known = labels.select(F.col(key).alias("id"), F.col(label).cast("int").alias("y")).where(F.col("id").isNotNull() & F.col("y").isNotNull())
     known = known.where(train_on(F.col("id")) if train_on else ~held_out(F.col("id"))).groupBy("id").agg(F.max("y").alias("y"))
     some = known.orderBy(F.xxhash64("id", F.lit(17)), "id").limit(most)
     rows = docs.select(F.col(key).alias("id"), F.col(text).cast("string").alias("text")).join(F.broadcast(some), "id")
-    rows = rows.where(F.length("text") <= MOST_BYTES // max(1, most) * 4).orderBy(F.xxhash64("id", F.lit(17)), "id", "text").limit(most).toArrow()
+    rows = rows.withColumn("text", excerpt(F.col("text"), fit_chars)).orderBy(F.xxhash64("id", F.lit(17)), "id", "text").limit(most).toArrow()
     return train(rows.column("text").combine_chunks(), np.array(rows.column("y").to_pylist(), np.int64))
 
 
@@ -155,7 +156,7 @@ def score(docs: DataFrame, model: Model, *, text: str = "text", key: str = "doc_
                 yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(out, pa.float64())], ["doc_id", "score"])
 
     cols = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return cols.mapInArrow(run, "doc_id long, score double")
+    return cols.mapInArrow(returning(run), "doc_id long, score double")
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
