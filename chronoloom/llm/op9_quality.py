@@ -1,11 +1,14 @@
 """Quality classifier by co-training.
 
 Two views of a document, each with a logistic regression of its own: its text content (how often words of each shape
-occur) and its page metadata (source, language, length). In each round a view labels the documents of an unlabelled
-pool about which it is surest and hands them to the other view as pseudo-labels. At the end each view is calibrated on labelled rows that
-neither was fitted on, and the calibrated log-odds are added, less the prior counted twice.
+occur) and its page metadata (source, language, length). In each round every unlabelled document is scored by both views, and each hands
+the documents about which it is surest, of all of them, to the other as pseudo-labels. At the end each view is calibrated on labelled rows that
+neither was fitted on (on the fitted rows where there are too few of either class to set some aside), and the calibrated log-odds are
+added, less the prior counted twice.
 
-Fitted on bounded samples: `MOST` labelled and `MOST` unlabelled rows of the least hash. All documents are scored on whole texts.
+Fitted on a bounded sample: the `MOST` labelled rows of the least hash, of texts of more than `FIT_CHARS` characters passages from
+evenly spread places of that length in all; and on the `GIVE` pseudo-labels that a view hands over in a round, chosen from all unlabelled
+documents, whose features are computed from whole texts and written once. All documents are scored on whole texts.
 
 Defined cases: null or empty text has no words (the metadata decide); null metadata are a value of their own; null labels
 and labels of the held-out fold are not used; a doc_id with several labels counts as good if one is; without labels of both
@@ -23,10 +26,12 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import pieces, returning, split_words, table, word_codes
+from .common import discard, excerpt, pieces, returning, split_words, stored, table, word_codes
 
+#: Most labelled documents that the driver trains on, most characters of each, and pseudo-labels of a view and round.
 MOST = 3000
-MOST_BYTES = 48 << 20
+FIT_CHARS = 67_000
+GIVE = 300
 SHAPES, META = 1 << 10, 1 << 9
 _RUN = re.compile(r"(.)\1+", re.S)
 _LETTERS = {ord("0") + i: "0" for i in range(10)} | {i: "a" for i in range(97, 123)} | {i: "A" for i in range(65, 91)}
@@ -94,8 +99,67 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def cotrain(known: list[np.ndarray], y: np.ndarray, pool: list[np.ndarray], rounds: int = 4, share: float = 0.1, sure: float = 0.95) -> Model:
-    """known, pool: the two views' features of labelled and unlabelled documents."""
+class Pool:
+    """The features of all unlabelled documents, as a written table: doc_id, h (of the text), at, value (text view), meta (places)."""
+
+    def __init__(self, rows: DataFrame):
+        def run(batches):
+            for batch in batches:
+                for piece in pieces(batch):
+                    x, m = _views(piece)
+                    row, at = np.nonzero(x)
+                    ends = pa.array(np.searchsorted(row, np.arange(len(x) + 1)).astype(np.int32))
+                    places = np.sort(np.argsort(-m, axis=1, kind="stable")[:, :3], axis=1)
+                    places = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * 3), pa.array(np.where(np.take_along_axis(m, places, 1) > 0, places, -1).ravel().astype(np.int16)))
+                    lists = [pa.ListArray.from_arrays(ends, pa.array(v)) for v in (at.astype(np.int16), x[row, at])]
+                    yield pa.RecordBatch.from_arrays([piece.column("doc_id"), piece.column("h"), *lists, places], ["doc_id", "h", "at", "value", "meta"])
+
+        self.table = stored(rows.mapInArrow(returning(run), "doc_id long, h long, at array<short>, value array<float>, meta array<short>"), "quality-pool")
+
+    @staticmethod
+    def dense(batch) -> list[np.ndarray]:
+        """The two views of rows of the table."""
+        out = [np.zeros((batch.num_rows, n), np.float32) for n in (SHAPES, META)]
+        for i, (at, value, meta) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("at", "value", "meta")), strict=True)):
+            out[0][i, at] = value
+            out[1][i, [j for j in meta if j >= 0]] = 1.0
+        return out
+
+    def surest(self, weights, scales, give: tuple[int, int], sure: float) -> list[tuple[int, int, tuple, list[np.ndarray]]]:
+        """(view, label, document, features) of the documents of the whole pool about which each view is surest."""
+
+        def run(batches):
+            best: dict[tuple, list] = {(v, label): [] for v in (0, 1) for label in (0, 1)}
+            for b in batches:
+                for lo in range(0, b.num_rows, 4096):
+                    piece = b.slice(lo, 4096)
+                    names = list(zip(piece.column("doc_id").to_pylist(), piece.column("h").to_pylist(), strict=True))
+                    for v, x in enumerate(self_dense(piece)):
+                        p = 1 / (1 + np.exp(-np.clip(scales[v][0] * logit(x, weights[v]) + scales[v][1], -30, 30)))
+                        for label in (0, 1):
+                            c = p if label else 1 - p
+                            some = np.flatnonzero(c >= sure)
+                            best[v, label] = sorted([*best[v, label], *((-float(c[i]), *names[i]) for i in some.tolist())])[: give[label]]
+            rows = [(v, label, c, d, h) for (v, label), found in best.items() for c, d, h in found]
+            if rows:
+                kinds = (pa.int32(), pa.int32(), pa.float64(), pa.int64(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], ["v", "label", "c", "doc_id", "h"])
+
+        self_dense = Pool.dense
+        some = stored(self.table.mapInArrow(returning(run), "v int, label int, c double, doc_id long, h long"), "quality-surest")
+        picked = [r for v in (0, 1) for label in (0, 1) for r in some.where((F.col("v") == v) & (F.col("label") == label)).orderBy("c", "doc_id", "h").limit(give[label]).collect()]
+        discard(some)
+        if not picked:
+            return []
+        ids = F.broadcast(self.table.sparkSession.createDataFrame(sorted({(r["doc_id"], r["h"]) for r in picked}), "doc_id long, h long"))
+        rows = self.table.join(ids, ["doc_id", "h"]).dropDuplicates(["doc_id", "h"]).toArrow()
+        at = {n: i for i, n in enumerate(zip(rows.column("doc_id").to_pylist(), rows.column("h").to_pylist(), strict=True))}
+        views = Pool.dense(rows)
+        return [(r["v"], r["label"], (r["doc_id"], r["h"]), [x[at[r["doc_id"], r["h"]]] for x in views]) for r in picked]
+
+
+def cotrain(known: list[np.ndarray], y: np.ndarray, pool: Pool | None, rounds: int = 4, give: int = GIVE, sure: float = 0.95) -> Model:
+    """known: the two views' features of labelled documents; pool: all unlabelled documents."""
     model = Model(float(y.mean()) if len(y) else 1.0)
     if len(np.unique(y)) < 2:
         return model
@@ -103,32 +167,29 @@ def cotrain(known: list[np.ndarray], y: np.ndarray, pool: list[np.ndarray], roun
     if min(y[hold].sum(), (1 - y[hold]).sum(), y[~hold].sum(), (1 - y[~hold]).sum()) < 1:
         hold[:] = True  # too few to set rows aside
     fit = ~hold if not hold.all() else hold
-    given = [{}, {}]  # pool row -> (label, confidence) that a view got from the other
+    given: list[dict] = [{}, {}]  # document -> (label, features) that a view got from the other
     weights = [None, None]
 
     def fitted(v):
-        rows = sorted(given[v])
-        x = np.vstack([known[v][fit], pool[v][rows]]) if rows else known[v][fit]
-        target = np.concatenate([y[fit], [given[v][r] for r in rows]])
-        return logistic(x, target, np.concatenate([np.ones(fit.sum()), np.full(len(rows), 0.5)]))
+        more = [given[v][d] for d in sorted(given[v])]
+        x = np.vstack([known[v][fit], *(f[v][None, :] for _, f in more)])
+        target = np.concatenate([y[fit], [label for label, _ in more]])
+        return logistic(x, target, np.concatenate([np.ones(fit.sum()), np.full(len(more), 0.5)]))
 
     def calibrated(v):
         z = logit(known[v][hold], weights[v])
         a, b = logistic(z[:, None], y[hold], np.ones(hold.sum()), l2=1e-3)
         return max(a, 0.0), b
 
+    counts = (int(give * (1 - model.share)) + 1, int(give * model.share) + 1)
     for r in range(rounds + 1):
         weights = [fitted(0), fitted(1)]
         scales = [calibrated(0), calibrated(1)]
-        if r == rounds or not len(pool[0]):
+        new = pool.surest(weights, scales, counts, sure) if pool and r < rounds else []
+        if not new:
             break
-        for v in (0, 1):
-            p = 1 / (1 + np.exp(-np.clip(scales[v][0] * logit(pool[v], weights[v]) + scales[v][1], -30, 30)))
-            for label, order in ((1, np.argsort(-p, kind="stable")), (0, np.argsort(p, kind="stable"))):
-                most = int(share * len(p) * (model.share if label else 1 - model.share)) + 1
-                for i in order[:most].tolist():
-                    if (p[i] if label else 1 - p[i]) >= sure:
-                        given[1 - v].setdefault(i, label)
+        for v, label, doc, features in new:
+            given[1 - v].setdefault(doc, (label, features))
     model.prior = float(np.log(model.share / (1 - model.share)))
     model.views = [(w, a, b) for w, (a, b) in zip(weights, scales, strict=True)]
     return model
@@ -145,18 +206,22 @@ def _views(t) -> list[np.ndarray]:
     return [text_features(texts), meta_features(*(t.column(c).to_pylist() for c in ("source", "lang", "n")))]
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, label: str = "quality", text: str = "text", key: str = "doc_id", source: str = "source", lang: str = "lang", most: int = MOST, train_on=None) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, *, label: str = "quality", text: str = "text", key: str = "doc_id", source: str = "source", lang: str = "lang", most: int = MOST, fit_chars: int = FIT_CHARS, give: int = GIVE, train_on=None) -> Model:
     from .op6_toxicity import held_out
 
     usable = (lambda c: train_on(c)) if train_on else (lambda c: ~held_out(c))
     y = labels.select(F.col(key).alias("id"), F.col(label).cast("int").alias("y")).where(F.col("id").isNotNull() & F.col("y").isNotNull()).groupBy("id").agg(F.max("y").alias("y"))
     order = [F.xxhash64("id", F.lit(23)), "id"]
     some = y.where(usable(F.col("id"))).orderBy(*order).limit(most)
-    d = _columns(docs, text, key, source, lang).where(F.length("text") <= MOST_BYTES // max(1, most) * 4)
-    known = d.join(F.broadcast(some), d["doc_id"] == some["id"]).orderBy(*order, "text").limit(most).toArrow()
-    free = d.select(F.col("doc_id").alias("id")).where("id IS NOT NULL").join(y, "id", "left_anti").where(usable(F.col("id"))).orderBy(*order).limit(most)
-    pool = d.join(F.broadcast(free.distinct()), d["doc_id"] == free["id"]).orderBy(*order, "text").limit(most).toArrow()
-    return cotrain(_views(known), np.array(known.column("y").to_pylist(), np.float64), _views(pool))
+    d = _columns(docs, text, key, source, lang)
+    known = d.withColumn("text", excerpt(F.col("text"), fit_chars)).join(F.broadcast(some), d["doc_id"] == some["id"]).orderBy(*order, "text").limit(most).toArrow()
+    free = d.where(F.col("doc_id").isNotNull() & usable(F.col("doc_id"))).join(y.select(F.col("id").alias("doc_id")), "doc_id", "left_anti").withColumn("h", F.xxhash64("text"))
+    labels_ = np.array(known.column("y").to_pylist(), np.float64)
+    pool = Pool(free) if len(np.unique(labels_)) == 2 else None
+    model = cotrain(_views(known), labels_, pool, give=give)
+    if pool:
+        discard(pool.table)
+    return model
 
 
 def score(docs: DataFrame, model: Model, *, text: str = "text", key: str = "doc_id", source: str = "source", lang: str = "lang", keep: float | None = None) -> DataFrame:
