@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import fresh, stored, table
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (3, 1, 2)
@@ -74,7 +74,7 @@ def _thresholds(sized: DataFrame, rest: dict, levels: int = HASH_BITS // BITS) -
         shift = HASH_BITS - BITS * level
         cell = sized.sparkSession.createDataFrame([(s, p) for s, (p, _) in open_.items()], "src int, prefix long")
         cells = (
-            sized.join(cell, "src")
+            sized.join(F.broadcast(cell), "src")
             .where(F.shiftright("h", shift + BITS) == F.col("prefix"))
             .groupBy("src", F.shiftright("h", shift).alias("p"))
             .agg(F.sum("size").alias("words"))
@@ -119,7 +119,7 @@ def assign(docs: DataFrame, *, text: str = "text", source: str = "source", key:
         [(i, r["source"], sizes[i], float(targets[i]), passes[i]) for i, r in enumerate(sums)],
         "src int, source_name string, source_size long, target double, passes int",
     )
-    numbered = sized.join(sources, sized["source"].eqNullSafe(sources["source_name"])).drop("source_name")
+    numbered = sized.join(F.broadcast(sources), sized["source"].eqNullSafe(sources["source_name"])).drop("source_name")
     edge = _thresholds(numbered, rest)
     # blocks: 2**bits equal ranges of the hash for each source and pass, the last pass only below the threshold
     total = max(1, sum(targets))
@@ -140,12 +140,13 @@ def assign(docs: DataFrame, *, text: str = "text", source: str = "source", key:
             rows.append((i, block, k, shard))
     blocks = spark.createDataFrame(rows, "src int, block long, pass int, shard int")
     cuts = spark.createDataFrame([(i, HASH_BITS - next((k[2] for k in kinds if k[0] == i), 0), int(edge[i])) for i in range(len(sizes))], "src int, drop_bits int, edge long")
-    return _place(numbered, cuts, blocks)
+    return _place(numbered, F.broadcast(cuts), blocks, len(rows) <= 4 * max_blocks)
 
 
-def _place(numbered: DataFrame, cuts: DataFrame, blocks: DataFrame) -> DataFrame:
+def _place(numbered: DataFrame, cuts: DataFrame, blocks: DataFrame, small: bool = False) -> DataFrame:
     """The result of assign(): every document with the shards that own its block in each pass."""
     owners = blocks.groupBy("src", "block").agg(F.array_sort(F.collect_list(F.struct("pass", "shard"))).alias("owners"))
+    owners = F.broadcast(owners) if small else owners
     placed = numbered.join(cuts, "src").withColumn("block", F.expr("shiftright(h, drop_bits)")).join(owners, ["src", "block"], "left")
     mine = F.filter(F.coalesce("owners", F.array().cast("array<struct<pass:int,shard:int>>")), lambda o: (o["pass"] < F.col("passes")) | (F.col("h") < F.col("edge")))
     return placed.select("doc_id", "text_hash", "source", "size", "source_size", "target", F.transform(mine, lambda o: o["shard"]).alias("shards"))
@@ -216,18 +217,27 @@ def _assign_by_tables(sized: DataFrame, weights, share: float, cap: float, shard
     return _place(numbered, cuts.select("src", "drop_bits", "edge"), owned)
 
 
+def order_in_shard(seed: int, *cols):
+    """The place of a row in its shard's local shuffle."""
+    return F.xxhash64(F.lit(seed), *cols)
+
+
 def mix(docs: DataFrame, *, text: str = "text", key: str = "doc_id", seed: int = 7, **how) -> DataFrame:
     """The mix itself: every column of docs once for each copy taken, with mix_shard, mix_copy and mix_order.
 
-    Within a shard the rows' order is that of mix_order, a local shuffle.
+    Within a shard the rows' order is that of mix_order, a local shuffle. Where docs has columns of these names, the new ones get a "_" more.
     """
-    own = assign(docs, text=text, key=key, seed=seed, **how).groupBy("doc_id", "text_hash").agg(F.first("shards").alias("shards"))
-    rows = docs.withColumn("_h", F.xxhash64(text)).withColumn("_k", F.col(key))
-    hit = rows.join(own, rows["_k"].eqNullSafe(own["doc_id"]) & (rows["_h"] == own["text_hash"])).drop(own["doc_id"]).drop("text_hash")
-    out = hit.select(*[c for c in hit.columns if c not in ("shards",)], F.posexplode("shards").alias("mix_copy", "mix_shard"))
-    return out.withColumn("mix_order", F.xxhash64(F.lit(seed), "_k", "_h", "mix_copy", "mix_shard")).drop("_k", "_h")
+    k_, h_, d_, t_, s_ = (fresh(docs, c) for c in ("mix_key", "mix_hash", "mix_doc", "mix_text", "mix_shards"))
+    own = assign(docs, text=text, key=key, seed=seed, **how).groupBy("doc_id", "text_hash").agg(F.first("shards").alias(s_)).withColumnsRenamed({"doc_id": d_, "text_hash": t_})
+    rows = docs.withColumns({h_: F.xxhash64(text), k_: F.col(key)})
+    hit = rows.join(own, F.col(k_).eqNullSafe(F.col(d_)) & (F.col(h_) == F.col(t_)))
+    copy, shard, order = (fresh(docs, c) for c in ("mix_copy", "mix_shard", "mix_order"))
+    out = hit.select(*docs.columns, k_, h_, F.posexplode(s_).alias(copy, shard))
+    return out.withColumn(order, order_in_shard(seed, k_, h_, copy, shard)).drop(k_, h_)
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the drawn blocks take of each document, with the output shards of its copies and their places there."""
     placed = assign(table(spark, sf_dir, "documents"))
-    return placed.select("doc_id", "size", "source_size", "target", (F.size("shards") * F.col("size")).cast("long").alias("taken"), F.size("shards").alias("copies"))
+    places = F.transform("shards", lambda shard, copy: F.concat_ws(":", shard, order_in_shard(7, F.col("doc_id"), F.col("text_hash"), copy, shard)))
+    return placed.select("doc_id", "size", "source_size", "target", F.aggregate("shards", F.lit(0).cast("long"), lambda n, _: n + F.col("size")).alias("taken"), F.size("shards").alias("copies"), F.array_join(places, ",").alias("mix_places"))

@@ -120,7 +120,7 @@ def test_token_counts_odd_rows(docs, none):
 
 
 def test_mixing(spark, docs, none):
-    assert o5.fill([100, 10, 50], [3, 1, 2]) == [147.0, 20.0, 73.0] or abs(sum(o5.fill([100, 10, 50], [3, 1, 2])) - 240) < 1e-9
+    assert np.allclose(o5.fill([100, 10, 50], [3, 1, 2]), [132, 20, 88])
     q = np.array([5, 0, 9, 100])
     t = o5.split_tree(q, 7, np.random.default_rng(0))
     assert (t.sum(axis=0) == q).all() and t.sum(axis=1).max() - t.sum(axis=1).min() <= 1
@@ -136,6 +136,8 @@ def test_mixing(spark, docs, none):
         assert abs(sum(words) - target) <= 40
     assert o5.mix(d, shards=5, block_words=500).count() == sum(len(r[6]) for r in a)
     assert o5.assign(docs).count() == len(DOCS) and o5.assign(none).count() == 0
+    odd = docs.withColumns({c: F.lit(1) for c in ("shards", "_h", "_k", "mix_order", "target")})
+    assert o5.mix(odd).columns == [*odd.columns, "mix_copy", "mix_shard", "mix_order_"] and o5.mix(none).count() == 0
 
 
 def test_nearest(spark):
@@ -370,3 +372,37 @@ def test_nearest_keeps_doubles_and_answers_every_query(spark):
     close = [(100 + i, [1.0 + i * 1e-12, *rng.standard_normal(7).round(1).tolist()][:1] + [1.0] * 7) for i in range(5)]
     got = o1.nearest(spark.createDataFrame(far + close, "vec_id long, embedding array<double>"), F.lit(True)).collect()
     assert len(got) == 35 * 10 and all(0 < r["score"] < 1e-11 for r in got if r["query_id"] >= 100 and r["rank"] < 5)
+
+
+def test_toxicity_of_long_labelled_texts_only(spark):
+    clean, bad = "the and of this that with from are ", "you worthless idiot clown "
+    rows = [(i, (bad if i % 2 else clean) * 3000) for i in range(40)]
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, i % 2, 1 - i % 2) for i in range(40)], "doc_id long, toxic int, quality int")
+    s = {r["doc_id"]: r["score"] for r in o6.score(docs, o6.fit(docs, labels)).collect()}
+    assert min(s[i] for i in range(1, 40, 2)) > 0.5 > max(s[i] for i in range(0, 40, 2))
+    assert o6.fit(docs.where("false"), labels).fitted is False and o6.fit(docs, labels.where("false")).prior == 0.0
+
+
+def test_quality_of_long_labelled_texts_only(spark):
+    rows = [(i, ("$$$ ### %%% &&& " if i % 2 else "Some good words here. ") * 5000, "en", f"s{i % 3}") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    labels = spark.createDataFrame([(i, 1 - i % 2) for i in range(40)], "doc_id long, quality int")
+    s = {r["doc_id"]: r["score"] for r in o9.score(docs, o9.fit(docs, labels)).collect()}
+    assert min(s[i] for i in range(0, 60, 2)) > 0.5 > max(s[i] for i in range(1, 60, 2))
+    assert o9.fit(docs.where("false"), labels).share == 1.0 and o9.fit(docs, labels.where("false")).views is None
+
+
+def test_decontamination_in_linear_time_and_of_short_items(spark):
+    import time
+
+    items = spark.createDataFrame([(1, "a b c d e f g h i j k l"), (2, "x y z"), (3, "solo"), (4, "p q r s t u")], "item_id long, text string")
+    rows = [(1, "q p solo x y z y z p q r s t u"), (2, "a b c d e f g h i j"), (3, "- a b c d e f g h i, J k L!"), (4, "x" * 300_000), (5, "x y"), (5, "x y"), (6, " ".join(f"n{i}" for i in range(100_000)) + " solo")]
+    got = sorted((r["doc_id"], r["n_words"], r["n_hit"], ",".join(r["items"])) for r in o7.report(spark.createDataFrame(rows, "doc_id long, text string"), items).collect())
+    assert got == [(1, 14, 10, "2,3,4"), (2, 10, 10, "1"), (3, 12, 12, "1"), (4, 1, 0, ""), (5, 2, 0, ""), (5, 2, 0, ""), (6, 100_001, 1, "3")]
+    took = []
+    for n, size in ((8, 25_000), (1, 200_000)):
+        d = spark.createDataFrame([(i, "word%d " % i * size) for i in range(n)], "doc_id long, text string")
+        began = time.time()
+        assert o7.report(d, items.where("item_id = 1")).count() == n
+        took.append(time.time() - began)
+    assert took[1] < 3 * took[0] + 5
