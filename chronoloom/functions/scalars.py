@@ -108,6 +108,27 @@ def render(template: Column, **values: Column) -> Column:  # K3: plain {{name}}
     return template
 
 
-def ics_event(uid: Column, start: Column, end: Column, title: Column) -> Column:  # K6, K7 (no METHOD line)
+def ics_event(uid: Column, start: Column, end: Column, title: Column, attendees: Column | None = None, rule: Column | None = None, method: str | None = None) -> Column:
+    """K6: an iCalendar text of one event; attendees: array of addresses; rule: FREQ=.. text or null; timestamps in UTC."""
     t = lambda c: F.date_format(c, "yyyyMMdd'T'HHmmss'Z'")
-    return F.concat(F.lit("BEGIN:VCALENDAR\r\nVERSION:2.0\r\nBEGIN:VEVENT\r\nUID:"), uid, F.lit("\r\nDTSTART:"), t(start), F.lit("\r\nDTEND:"), t(end), F.lit("\r\nSUMMARY:"), title, F.lit("\r\nEND:VEVENT\r\nEND:VCALENDAR\r\n"))
+    line = lambda name, c: F.concat(F.lit(name), c, F.lit("\r\n"))
+    more = [F.array_join(F.transform(attendees, lambda a: line("ATTENDEE:mailto:", a)), "")] if attendees is not None else []
+    more += [F.coalesce(line("RRULE:", rule), F.lit(""))] if rule is not None else []
+    head = "BEGIN:VCALENDAR\r\nVERSION:2.0\r\n" + (f"METHOD:{method}\r\n" if method else "") + "BEGIN:VEVENT\r\n"
+    return F.concat(F.lit(head), line("UID:", uid), line("DTSTART:", t(start)), line("DTEND:", t(end)), line("SUMMARY:", title), *more, F.lit("END:VEVENT\r\nEND:VCALENDAR\r\n"))
+
+
+def ics_rule(freq: Column, interval: Column, count: Column) -> Column:
+    """K6: the rule of a recurring event (yearly 0, monthly 1, weekly 2, daily 3), null without a count."""
+    name = F.element_at(F.array(*[F.lit(x) for x in ("YEARLY", "MONTHLY", "WEEKLY", "DAILY")]), freq.cast("int") + 1)
+    return F.when(count.isNotNull(), F.concat(F.lit("FREQ="), name, F.lit(";INTERVAL="), interval.cast("string"), F.lit(";COUNT="), count.cast("string")))
+
+
+def ics_duration(start: Column, end: Column) -> Column:
+    """K6: hours and minutes of an event."""
+    m = F.timestamp_diff("MINUTE", start, end)
+    return F.struct(F.floor(m / 60).cast("int").alias("hours"), (m % 60).cast("int").alias("minutes"))
+
+
+def without_method(ics: Column) -> Column:  # K7
+    return F.regexp_replace(ics, "METHOD:[^\r\n]+\r\n", "")

@@ -145,5 +145,9 @@ def availability_text(days: Column, start: Column, end: Column) -> Column:  # T2
     return F.concat(day_ranges(days), F.lit(", "), clock(start), F.lit(" - "), clock(end))
 
 
-def day_grid(step: int = 15) -> Column:  # T23: minutes of a day
-    return F.sequence(F.lit(0), F.lit(1440 - step), F.lit(step))
+def day_grid(step: int = 15, after: Column | None = None, before: Column | None = None) -> Column:
+    """Minutes of a day, those after `after` and before `before` where these are given."""
+    grid = F.sequence(F.lit(0), F.lit(1440 - step), F.lit(step))
+    if after is not None:
+        grid = F.filter(grid, lambda m: after.isNull() | (m > after))
+    return grid if before is None else F.filter(grid, lambda m: before.isNull() | (m < before))

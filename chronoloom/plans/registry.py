@@ -17,6 +17,7 @@ from ..session import epoch_s, load
 
 QUERIES: dict = {}
 SQL: dict = {}
+MODULE_OF: dict = {}
 
 
 def query(sql: str | None = None, **tables):
@@ -24,6 +25,7 @@ def query(sql: str | None = None, **tables):
 
     def deco(f):
         names = f.__code__.co_varnames[: f.__code__.co_argcount]
+        MODULE_OF[f.__name__] = f.__module__.rpartition(".")[2]
         QUERIES[f.__name__] = lambda spark, sf_dir: f(*[load(spark, sf_dir, n) for n in names])
         if sql:
             SQL[f.__name__] = sql
@@ -33,10 +35,13 @@ def query(sql: str | None = None, **tables):
 
 
 def queries() -> dict:
+    from . import core, relations, values  # noqa: F401, they register their own
+
     return QUERIES
 
 
 def oracle_sql() -> dict:
+    queries()
     return SQL
 
 
@@ -60,7 +65,7 @@ def _slots(events):
 
 
 def _free(events):
-    return B.remove_conflicts(_slots(events), _busy(events), ["host"], length=F.lit(30))
+    return B.remove_conflicts(_slots(events), _busy(events), ["host"], length=30)
 
 
 # ---------------------------------------------------------------- sources, projections, filters
@@ -131,13 +136,14 @@ def f14_json_path(events):
 
 @query(f"SELECT event_id FROM events WHERE {S.format('ts')} >= 1704326400 AND {S.format('ts')} + CAST(floor(value * 60) AS BIGINT) <= 1705190400")
 def f16_containment(events):
-    s = epoch_s(F.col("ts"))
-    return events.where(B.contained(s, s + F.floor(F.col("value") * 60), 1704326400, 1705190400)).select("event_id")
+    s, day = epoch_s(F.col("ts")), lambda d: F.lit(d).cast("timestamp_ntz")
+    few = events.where((F.col("ts") >= day("2024-01-04")) & (F.col("ts") <= day("2024-01-14")))  # on the stored column, so that it reaches the scan
+    return few.where(B.contained(s, s + F.floor(F.col("value") * 60), 1704326400, 1705190400)).select("event_id")
 
 
 @query("SELECT event_id FROM events WHERE CAST(ts AS DATE) = DATE '2024-01-15'")
 def f17_same_day(events):
-    return events.where(F.date_trunc("day", "ts").cast("date") == F.lit("2024-01-15").cast("date")).select("event_id")
+    return B.on_day(events, "ts", "2024-01-15").select("event_id")
 
 
 NOW = 883612800  # 1998-01-01
@@ -150,8 +156,15 @@ def _bookings(orders):
     return orders.select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("host"), s.alias("start_s"), (s + 1800).alias("end_s"), status.alias("status"), F.when(F.col("o_orderkey") % 3 == 0, F.col("o_custkey")).alias("recurring"))
 
 
+def _of_kind(orders, kind):
+    """The stored columns' own bounds, so that they reach the scan."""
+    first = F.lit("1997-12-31 23:30:00").cast("timestamp_ntz")
+    o = F.col("o_orderdate")
+    return orders.where({"past": o <= first, "cancelled": ~F.col("o_orderstatus").isin("F", "O")}.get(kind, o >= first))
+
+
 for _kind, _where in (("upcoming", f"end_s >= {NOW} AND status NOT IN ('CANCELLED', 'REJECTED')"), ("recurring", f"end_s >= {NOW} AND status NOT IN ('CANCELLED', 'REJECTED') AND recurring IS NOT NULL"), ("past", f"end_s <= {NOW} AND status NOT IN ('CANCELLED', 'REJECTED')"), ("cancelled", "status IN ('CANCELLED', 'REJECTED')")):
-    QUERIES[f"f18_{_kind}"] = lambda spark, sf, kind=_kind: P.list_bookings(_bookings(load(spark, sf, "orders")), kind, NOW).select("id", "start_s", "status")
+    QUERIES[f"f18_{_kind}"] = lambda spark, sf, kind=_kind: P.list_bookings(_bookings(_of_kind(load(spark, sf, "orders"), kind)), kind, NOW).select("id", "start_s", "status")
     SQL[f"f18_{_kind}"] = f"SELECT id, start_s, status FROM ({BOOK}) WHERE {_where}"
 
 
@@ -285,15 +298,8 @@ def w2_first_of_recurring(orders):
     return P.first_of(_bookings(orders), "recurring", "start_s", "id").select("id", "recurring")
 
 
-@query("SELECT team, c_custkey, rank_no FROM (SELECT *, row_number() OVER (PARTITION BY team ORDER BY CASE role WHEN 'OWNER' THEN 2 WHEN 'ADMIN' THEN 1 ELSE 0 END DESC, c_custkey) AS rank_no FROM (" + SEATS + ")) WHERE rank_no <= 3")
-def o4_role_order(customer):
-    rank = F.when(F.col("role") == "OWNER", 2).when(F.col("role") == "ADMIN", 1).otherwise(0)
-    rn = F.row_number().over(Window.partitionBy("team").orderBy(rank.desc(), "c_custkey"))
-    return _members(customer).withColumn("rank_no", rn).where("rank_no <= 3").select("team", "c_custkey", "rank_no")
-
-
 @query("SELECT team, c_custkey, row_number() OVER (PARTITION BY team ORDER BY CASE role WHEN 'OWNER' THEN 2 WHEN 'ADMIN' THEN 1 ELSE 0 END DESC, c_custkey) AS rank_no FROM (" + SEATS + ")")
-def o4_role_order_all(customer):
+def o4_role_order(customer):
     rank = F.when(F.col("role") == "OWNER", 2).when(F.col("role") == "ADMIN", 1).otherwise(0)
     rn = F.row_number().over(Window.partitionBy("team").orderBy(rank.desc(), "c_custkey"))
     return _members(customer).select("team", "c_custkey", rn.alias("rank_no"))
@@ -367,19 +373,11 @@ def t8_bookable_slots(events):
     return _free(events).select("host", "slot_s")
 
 
-@query(f"SELECT s AS slot_s FROM ({FREE}) WHERE host <= 3 GROUP BY s HAVING count(DISTINCT host) = (SELECT count(DISTINCT user_id) FROM events WHERE user_id <= 3)")
-def t10_collective(events):
-    few = events.where("user_id <= 3")
-    days = _free(events).where("host <= 3")
-    n = few.select(F.count_distinct("user_id").alias("n"))
-    return P.pool(days.crossJoin(F.broadcast(n)), ["n"], "collective", F.col("n")).select("slot_s")  # n is one row
-
-
 TEAM = "(SELECT *, CAST(floor(host / 4) AS BIGINT) AS team FROM ({0}))"
 
 
 @query(f"SELECT f.team AS team, s AS slot_s FROM {TEAM.format(FREE)} f JOIN (SELECT team, count(DISTINCT host) AS n FROM {TEAM.format('SELECT user_id AS host FROM events')} GROUP BY team) t ON t.team = f.team GROUP BY f.team, s, n HAVING count(DISTINCT host) = n")
-def t10_collective_all(events):
+def t10_collective(events):
     team = F.floor(F.col("host") / 4).cast("bigint").alias("team")
     size = events.select(F.col("user_id").alias("host")).select("host", team).groupBy("team").agg(F.count_distinct("host").alias("n"))
     return P.pool(_free(events).select("*", team).join(size, "team"), ["team", "n"], "collective", F.col("n")).select("team", "slot_s")
@@ -391,14 +389,8 @@ def t11_round_robin(events):
     return p.select("slot_s", F.array_join(F.array_sort(F.transform("hosts", lambda h: h.cast("string"))), ",").alias("hosts"))
 
 
-@query("SELECT o_orderkey, CAST(i AS INTEGER) AS occurrence, CAST(CAST(o_orderdate AS DATE) + CAST(i * 14 AS INTEGER) AS DATE) AS occurs FROM orders, (SELECT unnest(range(0, 6)) AS i) WHERE o_orderkey % 10 = 0")
-def t12_weekly_recurrence(orders):
-    o = orders.where("o_orderkey % 10 = 0").select("o_orderkey", F.col("o_orderdate").cast("date").alias("start"), F.lit(2).alias("freq"), F.lit(2).alias("every"), F.lit(6).alias("count"))
-    return C.expand_recurrence(o, "start", "freq", "every", "count").select("o_orderkey", F.col("occurrence").cast("int").alias("occurrence"), "occurs")
-
-
 @query("SELECT o_orderkey, CAST(i AS INTEGER) AS occurrence, CAST(CAST(o_orderdate AS DATE) + CAST(i * 14 AS INTEGER) AS DATE) AS occurs FROM orders, (SELECT unnest(range(0, 6)) AS i)")
-def t12_weekly_recurrence_all(orders):
+def t12_weekly_recurrence(orders):
     o = orders.select("o_orderkey", F.col("o_orderdate").cast("date").alias("start"), F.lit(2).alias("freq"), F.lit(2).alias("every"), F.lit(6).alias("count"))
     return C.expand_recurrence(o, "start", "freq", "every", "count").select("o_orderkey", F.col("occurrence").cast("int").alias("occurrence"), "occurs")
 
@@ -420,7 +412,7 @@ def t15_reminders(events):
 @query(f"SELECT event_id, NOT EXISTS (SELECT 1 FROM ({BUSY}) b WHERE b.host = user_id AND ((c >= bs AND c < be) OR (c + 900 > bs AND c + 900 < be) OR (bs > c AND bs < c + 900))) AS available FROM (SELECT event_id, user_id, {S.format('ts')} - 1200 AS c FROM events)")
 def t17_is_available(events):
     cand = events.select("event_id", F.col("user_id").alias("host"), (epoch_s(F.col("ts")) - 1200).alias("slot_s"))
-    return B.is_available(cand, _busy(events), ["host"], F.lit(15)).select("event_id", "available")
+    return B.is_available(cand, _busy(events), ["host"], 15).select("event_id", "available")
 
 
 # ---------------------------------------------------------------- mutations

@@ -1 +1 @@
-
+"""Event-driven behaviour on Structured Streaming."""
