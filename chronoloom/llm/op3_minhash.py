@@ -5,7 +5,8 @@
 2. Each band of minima is a bucket. First every representative is compared with the hub (the least member) of the
    bucket set that it shares most often; verified links join components, which empties the large groups of copies.
 3. Buckets that still hold more than one component are compared within, between components only, in blocks of
-   bounded size: a pair is looked at in the first band that it shares, its minima must agree often enough (five
+   bounded size: the members of the largest component of a bucket meet only those of the others, so that a few strangers
+   in a very large group cost one pass over it. A pair is looked at in the first band that it shares, its minima must agree often enough (five
    standard errors below the threshold), and it is confirmed on the full sets, which each member brings to its block. So no link that a band shows is lost, and no
    group is expanded into all its pairs.
 
@@ -26,11 +27,12 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mix64, pieces, returning, split_words, stored, table, whole_groups, word_codes
+from .common import discard, mix64, pieces, returning, split_words, stored, table, whole_groups, word_codes
 from .components import components
 
 BANDS, ROWS = 32, 5
-BLOCK = 512
+#: Most members of a block, and about the most shingles of all of them.
+BLOCK, BLOCK_SHINGLES = 512, 1 << 21
 #: Most ids that are sent to all executors (8 bytes each).
 BROADCAST_IDS = 2_000_000
 _POSITION = np.random.default_rng(11).integers(1, 1 << 63, 4096, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -147,14 +149,23 @@ def _confirm(pairs: DataFrame, docs: DataFrame, k: int, above, text: str, key: s
 def _cross(members: DataFrame, bands: int, low: float) -> DataFrame:
     """The pairs of different components within each bucket whose minima agree often enough, each pair once.
 
-    members: band_key, band, rep, label, sig, size (of the bucket). Large buckets are dealt out in pairs of blocks.
+    members: band_key, band, rep, label, sig, n. A bucket's largest component is its main one; the others' members are dealt to blocks
+    0, 1, .. and its own to blocks -1, -2, ..; a task is a pair of blocks (i, j) that are not both of the main component.
     A row is a member (of a bucket and pair of blocks) that is in such a pair, with its partners of higher place, so
     that there are never more rows than members.
     """
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    m = members.withColumn("n", blocks).withColumn("blk", F.pmod(F.xxhash64("rep"), F.col("n")).cast("int"))
-    m = m.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    m = m.select("band_key", F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j"), "blk", "band", "rep", "label", "sig")
+    parts = members.groupBy("band_key", "label").agg(F.count("*").alias("c"), F.sum("n").alias("s")).groupBy("band_key")
+    parts = parts.agg(F.max(F.struct("c", "label", "s")).alias("main"), F.sum("c").alias("c"), F.sum("s").alias("s"))
+    blocks = lambda c, s: F.ceil(F.greatest(c / BLOCK, s / BLOCK_SHINGLES)).cast("int")
+    parts = parts.select("band_key", F.col("main.label").alias("main"), blocks(F.col("main.c"), F.col("main.s")).alias("big"), blocks(F.col("c") - F.col("main.c"), F.col("s") - F.col("main.s")).alias("few"))
+    m = members.join(parts, "band_key")
+    mine = F.col("label") == F.col("main")
+    at = F.pmod(F.xxhash64("rep"), F.when(mine, F.col("big")).otherwise(F.col("few"))).cast("int")
+    m = m.withColumn("blk", F.when(mine, -1 - at).otherwise(at))
+    pair = lambda i, j: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"))
+    few, big = F.sequence(F.lit(0), F.col("few") - 1), F.sequence(F.lit(1), F.col("big"))
+    tasks = F.when(mine, F.transform(few, lambda o: pair(o, F.col("blk")))).otherwise(F.concat(F.transform(few, lambda o: pair(F.least("blk", o), F.greatest("blk", o))), F.transform(big, lambda o: pair(F.col("blk"), -o))))
+    m = m.withColumn("task", F.explode(tasks)).select("band_key", "task.i", "task.j", "blk", "band", "rep", "label", "sig")
 
     def run(batches):
         for t, cuts in whole_groups(batches, ["band_key", "i", "j"]):
@@ -249,14 +260,15 @@ def near_duplicates(docs: DataFrame, *, k: int = 5, above: tuple[int, int] = (80
     links = stored(_confirm(first, docs, k, above, text, key).union(same), "links")
     labels = components(links)
     # what is left: buckets with several components
-    named = reps.join(labels, reps["rep"] == labels["node"], "left").select("rep", "h1", F.coalesce("label", "rep").alias("label"), "sig")
-    cells = spread(named, "h1", "label").select("rep", "h1", "label", "band", "band_key")
-    mixed = cells.groupBy("band_key").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.count("*").alias("size")).where("a <> b").select("band_key", "size")
-    members = cells.join(mixed, "band_key").join(sigs, ["rep", "h1"])
+    named = reps.join(labels, reps["rep"] == labels["node"], "left").select("rep", "h1", F.coalesce("label", "rep").alias("label"), "n", "sig")
+    cells = spread(named, "h1", "label", "n").select("rep", "h1", "label", "n", "band", "band_key")
+    mixed = cells.groupBy("band_key").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("band_key")
+    members = stored(cells.join(mixed, "band_key").join(sigs, ["rep", "h1"]), "members")
     rest = stored(_cross(members, bands, low), "pairs")
     more = stored(_confirm_groups(rest, docs, k, above, text, key), "links")
     if more.count():
         labels = components(links.union(more))
+    discard(first, members, rest, links, more)
     final = reps.join(labels, reps["rep"] == labels["node"], "left").select("h1", "h2", F.col("n").alias("m"), F.coalesce("label", "rep").alias("c"))
     a = all_.select("doc_id", "n", "h1", "h2")
     out = a.join(final.withColumnsRenamed({"h1": "g1", "h2": "g2"}), (a["h1"] == F.col("g1")) & (a["h2"] == F.col("g2")) & (a["n"] == F.col("m")) & a["doc_id"].isNotNull(), "left")

@@ -406,3 +406,27 @@ def test_decontamination_in_linear_time_and_of_short_items(spark):
         assert o7.report(d, items.where("item_id = 1")).count() == n
         took.append(time.time() - began)
     assert took[1] < 3 * took[0] + 5
+
+
+@pytest.mark.parametrize("block", [4, 512])
+def test_strangers_in_a_large_group(spark, monkeypatch, block):
+    """One large component and a few others in the same buckets, in blocks of any size, against brute force."""
+    monkeypatch.setattr(o3, "BLOCK", block)
+    rng = np.random.default_rng(5)
+    base, rows = [f"w{i}" for i in range(100)], []
+    for i in range(90):
+        w = list(base)
+        if i % 3:
+            w[int(rng.integers(0, 100))] = f"x{i}"
+        if i % 30 == 7:
+            w[40:40] = [f"y{i}x{j}" for j in range(22)]  # below the threshold to all, yet in common buckets
+        rows.append((i, " ".join(w)))
+    got = {r["doc_id"]: r["component_id"] for r in o3.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), k=3, above=(85, 100)).collect()}
+    sets = [{tuple(t.split()[j : j + 3]) for j in range(len(t.split()) - 2)} for _, t in rows]
+    label = list(range(90))
+    for _ in range(8):
+        for i in range(90):
+            for j in range(90):
+                if 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j]):
+                    label[i] = label[j] = min(label[i], label[j])
+    assert got == dict(enumerate(label))
