@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from chronoloom.llm import op2_token_planes, op3_minhash, op5_mixing, op7_decontamination, op9_quality
-from chronoloom.llm.common import importable, stored, table
+from chronoloom.llm.common import discard, importable, stored, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,5 +49,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        new = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        discard(docs)
+        docs = new
     return STAGES[-1][1](spark, docs, sf_dir)
