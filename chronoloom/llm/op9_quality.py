@@ -75,10 +75,11 @@ def meta_features(source: list, lang: list, length: list) -> np.ndarray:
 
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int = 300, l2: float = 1e-4) -> np.ndarray:
     """Weights and intercept of a logistic regression, by Adam on the whole sample."""
-    x = np.hstack([x, np.ones((len(x), 1), np.float32)])
+    x = np.hstack([x, np.ones((len(x), 1))]).astype(np.float32)  # products in single precision: no copy of x in each step
     w, m, v = np.zeros(x.shape[1]), np.zeros(x.shape[1]), np.zeros(x.shape[1])
     for t in range(1, steps + 1):
-        g = x.T @ (weight * (1 / (1 + np.exp(-np.clip(x @ w, -30, 30))) - y)) / weight.sum() + l2 * w
+        p = 1 / (1 + np.exp(-np.clip(x @ w.astype(np.float32), -30, 30)))
+        g = x.T @ (weight * (p - y)).astype(np.float32) / weight.sum() + l2 * w
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w -= 0.2 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
     return w
@@ -120,9 +121,16 @@ class Pool:
     def dense(batch) -> list[np.ndarray]:
         """The two views of rows of the table."""
         out = [np.zeros((batch.num_rows, n), np.float32) for n in (SHAPES, META)]
-        for i, (at, value, meta) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("at", "value", "meta")), strict=True)):
-            out[0][i, at] = value
-            out[1][i, [j for j in meta if j >= 0]] = 1.0
+
+        def flat(name):
+            c = batch.column(name)
+            c = c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c
+            return np.repeat(np.arange(len(c)), pc.list_value_length(c).to_numpy(zero_copy_only=False)), c.flatten().to_numpy(zero_copy_only=False)
+
+        row, at = flat("at")
+        out[0][row, at] = flat("value")[1]
+        row, at = flat("meta")
+        out[1][row[at >= 0], at[at >= 0]] = 1.0
         return out
 
     def surest(self, weights, scales, give: tuple[int, int], sure: float) -> list[tuple[int, int, tuple, list[np.ndarray]]]:
