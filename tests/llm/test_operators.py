@@ -215,6 +215,20 @@ def test_line_dedup(spark, none):
     assert got[3] == ("line 3\n", 4, 2) and got[50] == (None, 0, 0) and got[51] == ("Menu", 1, 1) and got[52] == ("", 1, 1)
     assert {r["doc_id"]: r["text"] for r in o8.drop_lines(d, broadcast_rows=0).collect()} == {k: v[0] for k, v in got.items()}
     assert o8.drop_lines(none).count() == 0
+    clash = d.withColumns({"_host": F.lit("y"), "host_part": F.lit(1), "lines_before": F.lit(-1), "parts": F.lit(2), "host_bad": F.array(F.lit(1))})
+    for rows_sent in (0, 10):
+        out = o8.drop_lines(clash, broadcast_rows=rows_sent)
+        assert out.columns == [*(c for c in clash.columns if c != "lines_before"), "lines_before", "lines_after"] and out.count() == 23
+        assert {r["doc_id"]: (r["text"], r["lines_before"], r["lines_after"]) for r in out.collect()} == got and out.first()["parts"] == 2
+
+
+def test_a_large_host_is_dealt_to_parts(spark):
+    d = spark.range(400).selectExpr("id AS doc_id", "concat('Menu\\nline ', id) AS text", "IF(id < 390, 'h', concat('h', id)) AS source")
+    parts = o8._parts(d, "source")
+    assert {r["_host"]: r["parts"] for r in parts.collect()}["h"] == 975
+    out = o8.drop_lines(d, broadcast_rows=0)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "host_part" in plan and out.where("lines_after = 1").count() == 390 and out.count() == 400
 
 
 @pytest.mark.parametrize(
