@@ -14,8 +14,11 @@ def notifications(events: DataFrame, subscribers: DataFrame) -> DataFrame:
     events: id, trigger, user, event_type. subscribers: url, user, event_type, triggers (array), active.
     """
     s = subscribers.where("active").select("url", F.col("user").alias("_u"), F.col("event_type").alias("_t"), F.explode("triggers").alias("_trigger"))
-    hit = (F.col("trigger") == F.col("_trigger")) & ((F.col("event_type") == F.col("_t")) | (F.col("_t").isNull() & (F.col("user") == F.col("_u"))))
-    return events.join(s, hit).select("id", "trigger", "url")
+    trigger = F.col("trigger") == F.col("_trigger")
+    # a join for each kind of subscription, on all of its keys: on the trigger alone every event of it would meet every subscriber
+    of_type = events.join(s.where("_t IS NOT NULL"), trigger & (F.col("event_type") == F.col("_t")))
+    of_user = events.join(s.where("_t IS NULL"), trigger & (F.col("user") == F.col("_u")))
+    return of_type.select("id", "trigger", "url").unionByName(of_user.select("id", "trigger", "url"))
 
 
 def once(reminders: DataFrame, *keys: str, at: str = "at", late: str = "3 days") -> DataFrame:

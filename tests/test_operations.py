@@ -128,3 +128,12 @@ def test_deliver(spark, tmp_path):
 
     O.deliver(d, send)
     assert len(list(tmp_path.iterdir())) == 5
+
+
+def test_notifications_join_on_every_key(spark):
+    e = spark.createDataFrame([(1, "made", 10, 5), (2, "made", 11, 6), (3, "gone", 10, 5), (4, "made", None, None)], "id long, trigger string, user long, event_type long")
+    s = spark.createDataFrame([("type", None, 5, ["made"], True), ("both", 11, 5, ["made", "gone"], True), ("user", 10, None, ["made", "gone"], True), ("off", 10, None, ["made"], False), ("none", None, None, ["made"], True)], "url string, user long, event_type long, triggers array<string>, active boolean")
+    got = E.notifications(e, s)
+    assert sorted((r["id"], r["url"]) for r in got.collect()) == [(1, "both"), (1, "type"), (1, "user"), (3, "both"), (3, "user")]
+    joins = [x for x in got._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join " in x]
+    assert joins and all(" OR " not in x and x.count(" = ") == 2 for x in joins)  # no join on the trigger alone
