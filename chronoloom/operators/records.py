@@ -104,8 +104,8 @@ def both_users(df: DataFrame, users: DataFrame, a: str, b: str, key: str, name:
 
 
 def first_match(df: DataFrame, group: str, order: str, *cols: str) -> DataFrame:
-    """Of each group the row with the least `order`, by partial minima."""
-    return df.groupBy(group).agg(F.min(F.struct(order, *cols)).alias("m")).select(group, f"m.{order}", *[f"m.{c}" for c in cols])
+    """Of each group the row with the least `order`, null last, by partial minima."""
+    return df.groupBy(group).agg(F.min(F.struct(F.col(order).isNull().alias("_n"), order, *cols)).alias("m")).select(group, f"m.{order}", *[f"m.{c}" for c in cols])
 
 
 def unsponsored(users: DataFrame, metadata: Column, key: str, subscriptions: DataFrame, on: str) -> DataFrame:

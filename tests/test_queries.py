@@ -54,3 +54,19 @@ def test_every_team_has_its_collective_slots(spark):
     got = registry.queries()["t10_collective"](spark, DATA)
     assert got.select("team").distinct().count() == hosts
     assert got.where("team = 0").count() > 0
+
+
+ODD = {
+    "j22_first_of_a_type": ("lineitem", "l_orderkey long, l_linenumber int, l_partkey long, l_returnflag string", [(1, 1, 1_900_000, "R"), (1, 2, 5, "R"), (2, 3, 999_999, "R"), (2, 3, 1_000_000, "R"), (3, 1, None, "R"), (3, 2, 7, "R"), (4, 1, None, "R"), (5, 1, 1, "N")]),
+}
+
+
+@pytest.mark.parametrize("name", ODD)
+def test_query_on_odd_rows(spark, tmp_path, name):
+    table, schema, values = ODD[name]
+    spark.createDataFrame(values, schema).write.parquet(f"{tmp_path}/{table}.parquet")
+    got = registry.queries()[name](spark, str(tmp_path))
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{tmp_path}/{table}.parquet/*.parquet')")
+    want = c.execute(f"SELECT {', '.join(got.columns)} FROM ({registry.oracle_sql()[name]})").fetchall()
+    assert rows(map(tuple, got.collect())) == rows(want)
