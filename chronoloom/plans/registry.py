@@ -431,7 +431,7 @@ def m4_replace_children(lineitem):
 
 @query("SELECT c_custkey, (CAST(c_acctbal AS BIGINT) % 1440 + 1440) % 1440 // 60 * 60 AS start_min FROM customer")
 def m7_minutes_to_hour(customer):
-    m = F.pmod(F.round("c_acctbal").cast("bigint"), F.lit(1440))
+    m = F.pmod(F.rint("c_acctbal").cast("bigint"), F.lit(1440))  # a half to the even number, as SQL's cast
     return customer.select("c_custkey", (F.floor(m / 60) * 60).cast("bigint").alias("start_min"))
 
 

@@ -58,6 +58,7 @@ def test_every_team_has_its_collective_slots(spark):
 
 ODD = {
     "j22_first_of_a_type": ("lineitem", "l_orderkey long, l_linenumber int, l_partkey long, l_returnflag string", [(1, 1, 1_900_000, "R"), (1, 2, 5, "R"), (2, 3, 999_999, "R"), (2, 3, 1_000_000, "R"), (3, 1, None, "R"), (3, 2, 7, "R"), (4, 1, None, "R"), (5, 1, 1, "N")]),
+    "m7_minutes_to_hour": ("customer", "c_custkey long, c_acctbal double", [(i, x + 60.0 * k) for i, (x, k) in enumerate((x, k) for x in (-0.5, 0.5, -0.49, -0.51, -1.5, 59.5, 59.49) for k in (-24, -2, -1, 0, 1, 24))] + [(99, None)]),
 }
 
 
