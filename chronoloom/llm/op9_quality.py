@@ -32,6 +32,8 @@ from .common import discard, excerpt, pieces, returning, split_words, stored, ta
 MOST = 3000
 FIT_CHARS = 67_000
 GIVE = 300
+#: Bytes of text whose words are held at once, and words whose shapes a worker remembers.
+PIECE_BYTES, KNOWN = 2 << 20, 100_000
 SHAPES, META = 1 << 10, 1 << 9
 _RUN = re.compile(r"(.)\1+", re.S)
 _LETTERS = {ord("0") + i: "0" for i in range(10)} | {i: "a" for i in range(97, 123)} | {i: "A" for i in range(65, 91)}
@@ -52,7 +54,7 @@ def text_features(texts: pa.Array) -> np.ndarray:
     """Square roots of the shares of word shapes, hashed to SHAPES columns."""
     ends, words = split_words(texts, lower=False)
     codes, distinct = word_codes(words)
-    if len(_shapes) > 400_000:
+    if len(_shapes) > KNOWN:
         _shapes.clear()
     for w in distinct:
         if w not in _shapes:
@@ -101,12 +103,17 @@ class Model:
 
 
 class Pool:
-    """The features of all unlabelled documents, as a written table: doc_id, h (of the text), at, value (text view), meta (places)."""
+    """The features of rows, as a written table: doc_id, h (of the text), at, value (text view), meta (places).
+
+    labelled: doc_ids that hand over nothing. They are told apart by joins of scores, so that no text is dealt out by its id.
+    """
+
+    def __init__(self, rows: DataFrame, labelled: DataFrame):
+        self.labelled = labelled
 
-    def __init__(self, rows: DataFrame):
         def run(batches):
             for batch in batches:
-                for piece in pieces(batch):
+                for piece in pieces(batch, limit=PIECE_BYTES):
                     x, m = _views(piece)
                     row, at = np.nonzero(x)
                     ends = pa.array(np.searchsorted(row, np.arange(len(x) + 1)).astype(np.int32))
@@ -134,27 +141,24 @@ class Pool:
         return out
 
     def surest(self, weights, scales, give: tuple[int, int], sure: float) -> list[tuple[int, int, tuple, list[np.ndarray]]]:
-        """(view, label, document, features) of the documents of the whole pool about which each view is surest."""
+        """(view, label, document, features) of the unlabelled documents of the whole pool about which each view is surest."""
 
         def run(batches):
-            best: dict[tuple, list] = {(v, label): [] for v in (0, 1) for label in (0, 1)}
             for b in batches:
                 for lo in range(0, b.num_rows, 4096):
                     piece = b.slice(lo, 4096)
-                    names = list(zip(piece.column("doc_id").to_pylist(), piece.column("h").to_pylist(), strict=True))
                     for v, x in enumerate(self_dense(piece)):
                         p = 1 / (1 + np.exp(-np.clip(scales[v][0] * logit(x, weights[v]) + scales[v][1], -30, 30)))
                         for label in (0, 1):
                             c = p if label else 1 - p
                             some = np.flatnonzero(c >= sure)
-                            best[v, label] = sorted([*best[v, label], *((-float(c[i]), *names[i]) for i in some.tolist())])[: give[label]]
-            rows = [(v, label, c, d, h) for (v, label), found in best.items() for c, d, h in found]
-            if rows:
-                kinds = (pa.int32(), pa.int32(), pa.float64(), pa.int64(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], ["v", "label", "c", "doc_id", "h"])
+                            if len(some):
+                                kind = [pa.array(np.full(len(some), k, np.int32)) for k in (v, label)]
+                                yield pa.RecordBatch.from_arrays([*kind, pa.array(-c[some]), *(piece.column(n).take(pa.array(some)) for n in ("doc_id", "h"))], ["v", "label", "c", "doc_id", "h"])
 
         self_dense = Pool.dense
-        some = stored(self.table.mapInArrow(returning(run), "v int, label int, c double, doc_id long, h long"), "quality-surest")
+        rows = self.table.mapInArrow(returning(run), "v int, label int, c double, doc_id long, h long")
+        some = stored(rows.join(self.labelled, "doc_id", "left_anti"), "quality-surest")
         picked = [r for v in (0, 1) for label in (0, 1) for r in some.where((F.col("v") == v) & (F.col("label") == label)).orderBy("c", "doc_id", "h").limit(give[label]).collect()]
         discard(some)
         if not picked:
@@ -167,7 +171,7 @@ class Pool:
 
 
 def cotrain(known: list[np.ndarray], y: np.ndarray, pool: Pool | None, rounds: int = 4, give: int = GIVE, sure: float = 0.95) -> Model:
-    """known: the two views' features of labelled documents; pool: all unlabelled documents."""
+    """known: the two views' features of labelled documents; pool: all documents, of which the unlabelled ones are handed over."""
     model = Model(float(y.mean()) if len(y) else 1.0)
     if len(np.unique(y)) < 2:
         return model
@@ -223,9 +227,9 @@ def fit(docs: DataFrame, labels: DataFrame, *, label: str = "quality", text: str
     some = y.where(usable(F.col("id"))).orderBy(*order).limit(most)
     d = _columns(docs, text, key, source, lang)
     known = d.withColumn("text", excerpt(F.col("text"), fit_chars)).join(F.broadcast(some), d["doc_id"] == some["id"]).orderBy(*order, "text").limit(most).toArrow()
-    free = d.where(F.col("doc_id").isNotNull() & usable(F.col("doc_id"))).join(y.select(F.col("id").alias("doc_id")), "doc_id", "left_anti").withColumn("h", F.xxhash64("text"))
+    rows = d.where(F.col("doc_id").isNotNull() & usable(F.col("doc_id"))).withColumn("h", F.xxhash64("text"))
     labels_ = np.array(known.column("y").to_pylist(), np.float64)
-    pool = Pool(free) if len(np.unique(labels_)) == 2 else None
+    pool = Pool(rows, y.select(F.col("id").alias("doc_id"))) if len(np.unique(labels_)) == 2 else None
     model = cotrain(_views(known), labels_, pool, give=give)
     if pool:
         discard(pool.table)
@@ -244,7 +248,7 @@ def score(docs: DataFrame, model: Model, *, text: str = "text", key: str = "doc_
 
         def run(batches):
             for batch in batches:
-                for piece in pieces(batch):
+                for piece in pieces(batch, limit=PIECE_BYTES):
                     yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(scored(piece), pa.float64())], ["doc_id", "score"])
 
         return _columns(docs, text, key, source, lang).mapInArrow(returning(run), "doc_id long, score double")
@@ -252,7 +256,7 @@ def score(docs: DataFrame, model: Model, *, text: str = "text", key: str = "doc_
     # each text goes to the Python workers once: the views are taken from the columns of docs themselves
     def keep_good(batches):
         for batch in batches:
-            for piece in pieces(batch, text):
+            for piece in pieces(batch, text, PIECE_BYTES):
                 view = {"text": piece.column(text), "source": piece.column(source), "lang": piece.column(lang)}
                 view = {c: v if pa.types.is_string(v.type) else v.cast(pa.string()) for c, v in view.items()}
                 keeps = scored(pa.table(view | {"n": pc.utf8_length(view["text"])})) >= keep

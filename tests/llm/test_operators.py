@@ -444,3 +444,25 @@ def test_strangers_in_a_large_group(spark, monkeypatch, block):
                 if 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j]):
                     label[i] = label[j] = min(label[i], label[j])
     assert got == dict(enumerate(label))
+
+
+def test_quality_deals_no_text_by_its_id(spark, monkeypatch):
+    rows = [(i, ("$$$ ### %%% " if i % 2 else "Some good words here. ") * 9, "en", f"s{i % 3}") for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(3)
+    labels = spark.createDataFrame([(i, 1 - i % 2) for i in range(120)], "doc_id long, quality int")
+    plans, found, real, surest = {}, [], o9.stored, o9.Pool.surest
+
+    def stored(df, name):
+        plans[name] = df._jdf.queryExecution().optimizedPlan().toString()
+        return real(df, name)
+
+    def picked(*args):
+        found.extend(out := surest(*args))
+        return out
+
+    monkeypatch.setattr(o9, "stored", stored)
+    monkeypatch.setattr(o9.Pool, "surest", picked)
+    m = o9.fit(docs, labels)
+    assert "Join" not in plans["quality-pool"]
+    assert found and all(doc[0] >= 120 for _, _, doc, _ in found)  # labelled documents hand over nothing
+    assert m.views is not None
