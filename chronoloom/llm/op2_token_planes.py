@@ -28,7 +28,7 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import new_path, pieces, ragged, returning, split_words, stored, table, word_codes
+from .common import BATCH_BYTES, new_path, pieces, ragged, returning, split_words, stored, table, word_codes
 
 MAGIC = b"CLPLANE1"
 BLOCK = 1 << 16
@@ -134,7 +134,7 @@ class Encoder:
     A text that holds a special token's start is encoded as a whole.
     """
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -188,13 +188,15 @@ class Encoder:
         return counts, ids
 
 
-_encoders: dict[str, Encoder] = {}
+#: Words whose ids a worker remembers.
+KNOWN = 400_000
+_encoders: dict[tuple[str, int], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+def encoder(path: str, most: int = KNOWN) -> Encoder:
+    if (path, most) not in _encoders:
+        _encoders[path, most] = Encoder(path, most)
+    return _encoders[path, most]
 
 
 # ---------------------------------------------------------------- the operator
@@ -203,9 +205,10 @@ MANIFEST = "part int, path string, n_docs long, n_ids long"
 DIGEST = "part int, doc_id long, at long, n_tokens long, ids_crc32 long"
 
 
-def write_token_planes(docs: DataFrame, tokenizer: str, folder: str | None = None, *, text: str = "text", key: str = "doc_id", end_id: int = END_ID, block: int = BLOCK, kind: str = "byte", level: int = 3) -> DataFrame:
+def write_token_planes(docs: DataFrame, tokenizer: str, folder: str | None = None, *, text: str = "text", key: str = "doc_id", end_id: int = END_ID, block: int = BLOCK, kind: str = "byte", level: int = 3, piece_bytes: int = BATCH_BYTES, known: int = KNOWN) -> DataFrame:
     """Encode docs and write their ids as files in `folder` (default: a new one in the shared folder).
 
+    piece_bytes of text are encoded at once and the ids of `known` words remembered: less of both takes less memory and more time.
     Returns the manifest: part, path, n_docs, n_ids of each file, in ascending order of the key by part.
     """
     spark = docs.sparkSession
@@ -217,9 +220,9 @@ def write_token_planes(docs: DataFrame, tokenizer: str, folder: str | None = Non
         from pyspark import TaskContext
 
         part, writer, out, path, n_docs, n_ids = TaskContext.get().partitionId(), None, None, "", 0, 0
-        enc = encoder(tokenizer)
+        enc = encoder(tokenizer, known)
         for batch in batches:
-            for piece in pieces(batch):
+            for piece in pieces(batch, limit=piece_bytes):
                 if writer is None:
                     files, at = pafs.FileSystem.from_uri(folder)
                     files.create_dir(at)

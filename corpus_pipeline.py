@@ -37,7 +37,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Files of token ids; a row for each document in them, from reading them back."""
     importable(spark)
-    return op2_token_planes.read_digest(op2_token_planes.write_token_planes(docs, op2_token_planes.default_tokenizer()))
+    # the executors hold what the stages before have left: less at once than in op2 alone
+    return op2_token_planes.read_digest(op2_token_planes.write_token_planes(docs, op2_token_planes.default_tokenizer(), piece_bytes=2 << 20, known=100_000))
 
 
 STAGES = [("quality", quality), ("near_dedup", near_dedup), ("decontaminate", decontaminate), ("mix", mix), ("tokens", tokens)]

@@ -466,3 +466,19 @@ def test_quality_deals_no_text_by_its_id(spark, monkeypatch):
     assert "Join" not in plans["quality-pool"]
     assert found and all(doc[0] >= 120 for _, _, doc, _ in found)  # labelled documents hand over nothing
     assert m.views is not None
+
+
+def test_token_planes_in_small_pieces(spark, docs, monkeypatch):
+    import corpus_pipeline
+
+    asked, real = [], o2.write_token_planes
+
+    def write(docs, tokenizer, **bounds):
+        asked.append(bounds)
+        return real(docs, tokenizer, piece_bytes=64, known=3)
+
+    digest = lambda m: sorted(map(tuple, o2.read_digest(m).collect()), key=lambda r: r[1])
+    want = digest(real(docs, o2.default_tokenizer()))
+    monkeypatch.setattr(o2, "write_token_planes", write)
+    assert sorted(map(tuple, corpus_pipeline.tokens(spark, docs, "").collect()), key=lambda r: r[1]) == want
+    assert asked[0]["piece_bytes"] < o2.BATCH_BYTES and asked[0]["known"] < o2.KNOWN
